@@ -66,3 +66,18 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def text_slices(batch, at: int, most_bytes: int = 4 << 20):
+    """(start, texts) of a record batch's string column, a few MB at a time."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    column = batch.column(at)
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
+    start, n = 0, len(column)
+    while start < n:
+        base = sizes[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(sizes, base + most_bytes, "right")))
+        yield start, column.slice(start, stop - start).to_pylist()
+        start = stop

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .bpe import op6_bpe
 from .line_dedup import OP7_SQL, op7_line_dedup
+from .packing import op1_packing
 from .sharding import op8_sharding
 
 QUERIES = {
+    "op1_packing": op1_packing,
+    "op6_bpe": op6_bpe,
     "op7_line_dedup": op7_line_dedup,
     "op8_sharding": op8_sharding,
 }
