@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW_KEY, documents, keyed, partitions
+from .common import ROW_KEY, documents, keyed, materialise, partitions
 
 MIN_CHARS = 1
 MIN_DOCS = 10
@@ -156,7 +156,7 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN
     n = partitions(spark)
     lines = keyed(docs).mapInArrow(lambda it: _explode(it, min_chars), f"h1 long, h2 long, doc_id long, {ROW_KEY} long, at int, n_lines int")
     ordered = lines.repartitionByRange(n, "h1", "h2", "doc_id", ROW_KEY).sortWithinPartitions("h1", "h2", "doc_id", ROW_KEY, "at")
-    flags = ordered.mapInArrow(lambda it: _stream(it, min_docs, keep_first), _FLAGS)
+    flags = materialise(ordered.mapInArrow(lambda it: _stream(it, min_docs, keep_first), _FLAGS), "line-flags")
     edge = flags.where("h1 is not null")
     # The first and last run of a partition only: bounded by the number of partitions.
     first = F.min(F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id", ROW_KEY)).alias("_w_first")
