@@ -11,6 +11,7 @@ from .packing import op1_packing
 from .sharding import op8_sharding
 from .simhash import op4_simhash
 from .substring_dedup import OP9_SQL, op9_substring_dedup
+from .suffix_dedup import OP10_SQL, op10_suffix_dedup
 
 QUERIES = {
     "op1_packing": op1_packing,
@@ -22,9 +23,11 @@ QUERIES = {
     "op7_line_dedup": op7_line_dedup,
     "op8_sharding": op8_sharding,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLE_SQL = {
     "op7_line_dedup": OP7_SQL,
     "op9_substring_dedup": OP9_SQL,
+    "op10_suffix_dedup": OP10_SQL,
 }

@@ -211,5 +211,15 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANC
     return prints.join(labels, prints["print"] == labels["_w_print"]).select("doc_id", "print", "component_id")
 
 
+def keep_one(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
+    """``docs`` with its columns, of each component the document with the smallest id only; rows without id stay."""
+    found = near_duplicates(docs, words, distance)
+    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_w_kept")).distinct()
+    named = docs.where("doc_id is not null")
+    # After the join the rows lie by doc_id: dropping repeated ones takes no exchange.
+    one = named.join(kept, named["doc_id"].cast("long") == kept["_w_kept"]).dropDuplicates(["_w_kept"]).drop("_w_kept")
+    return one.unionByName(docs.where("doc_id is null"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir)).select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")

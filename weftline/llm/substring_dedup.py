@@ -37,14 +37,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW_KEY, documents, keyed, partitions, text_slices
+from .common import documents, partitions, text_slices
+from .repeats import PORTION, copies, first_of, shared_leaders, spread, with_identity
 from .rolling import sliding_min, windows, word_hashes
 
 WINDOW = 50
 CORE = 16
-_NULL = -(1 << 63)
-#: A task settles its own rows in portions of so many.
-_PORTION = 1_000_000
 
 
 def leaders(words: np.ndarray, window: int, core: int) -> np.ndarray:
@@ -54,103 +52,7 @@ def leaders(words: np.ndarray, window: int, core: int) -> np.ndarray:
     return sliding_min(windows(words, core), window - core + 1)
 
 
-def _first_of(*keys: np.ndarray) -> np.ndarray:
-    """Where a new combination begins in sorted columns."""
-    n = len(keys[0])
-    if not n:
-        return np.zeros(0, bool)
-    new = np.zeros(n, bool)
-    new[0] = True
-    for k in keys:
-        new[1:] |= k[1:] != k[:-1]
-    return new
-
-
-_LEAD = f"key long, text_hash long, doc long, {ROW_KEY} long, settled boolean"
-
-
-def _send_leaders(window: int, core: int):
-    """(doc, text, row, text_hash) -> leaders; settled: two texts of this task share it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        size = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal size
-            if not held:
-                return
-            key, text, doc, row = (np.concatenate(c) for c in zip(*held, strict=True))
-            held.clear()
-            size = 0
-            order = np.lexsort((doc, text, key))
-            key, text, doc, row = key[order], text[order], doc[order], row[order]
-            once = _first_of(key, text)  # further copies of a text are dropped as such
-            key, text, doc, row = key[once], text[once], doc[once], row[once]
-            new = _first_of(key)
-            group = np.cumsum(new) - 1
-            many = np.bincount(group) > 1
-            shared = many[group]
-            # A shared leader is told to the others by two rows, which are settled as well.
-            nth = np.arange(len(key)) - np.flatnonzero(new)[group]
-            yield _lead(key, text, doc, row, np.zeros(len(key), bool), ~shared | (nth < 2))
-            yield _lead(key, text, doc, row, np.ones(len(key), bool), shared & (nth >= 2))
-
-        for b in batches:
-            docs, rows, hashes = b.column(0).to_numpy(), b.column(2).to_numpy(), b.column(3).to_numpy()
-            for start, texts in text_slices(b, 1):
-                for i, words in enumerate(word_hashes([(t or "").encode() for t in texts]), start):
-                    lead = leaders(words, window, core)
-                    if len(lead):
-                        lead = np.unique(lead[_first_of(lead)]).view(np.int64)
-                        n = len(lead)
-                        held.append((lead, np.full(n, hashes[i]), np.full(n, docs[i]), np.full(n, rows[i])))
-                        size += n
-                if size >= _PORTION:
-                    yield from flush()
-        yield from flush()
-
-    return run
-
-
-def _lead(key, text, doc, row, settled, which) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x[which]) for x in (key, text, doc, row, settled)], names=["key", "text_hash", "doc", ROW_KEY, "settled"])
-
-
-def _shared_leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted by (settled, key, text_hash, doc): the leaders of two texts or more, one row for each text's first document."""
-    last: tuple | None = None  # key, text, doc, row of the open group's first row; None once told
-    key = text = None
-    for b in batches:
-        keys, texts, docs, rows = (b.column(i).to_numpy() for i in range(4))
-        settled = b.column(4).to_numpy(zero_copy_only=False)
-        n = len(keys)
-        if not n:
-            continue
-        new_key = np.r_[keys[0] != key or bool(settled[0]), keys[1:] != keys[:-1]] | settled
-        new_text = new_key | np.r_[texts[0] != text, texts[1:] != texts[:-1]]
-        first = np.flatnonzero(new_text)
-        lone = new_key[first]
-        followed = np.r_[~lone[1:], False]
-        keep = (~lone | followed | settled[first])
-        out = first[keep]
-        early = []
-        if len(first) and not lone[0] and last is not None:
-            early.append(last)
-            last = None
-        if len(early) or len(out):
-            k, d, r = (np.concatenate([np.array([e[j] for e in early], np.int64), x[out]]) for j, x in ((0, keys), (1, docs), (2, rows)))
-            yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(r), pa.array(k)], names=["doc", ROW_KEY, "key"])
-        if len(first):
-            end = first[-1]
-            if lone[-1]:
-                last = None if settled[end] else (keys[end], docs[end], rows[end])
-            elif not lone.all():
-                last = None if keep[-1] else last
-        key, text = keys[-1], texts[-1]
-
-
-_OPEN = f"key long, doc long, {ROW_KEY} long, at int, settled boolean"
+_OPEN = "key long, doc long, text_hash long, at int, settled boolean"
 
 
 def _send_windows(window: int, core: int):
@@ -169,9 +71,9 @@ def _send_windows(window: int, core: int):
             size = 0
             order = np.lexsort((at, doc, key))
             key, doc, row, at = key[order], doc[order], row[order], at[order]
-            new = np.flatnonzero(_first_of(key))
+            new = np.flatnonzero(first_of(key))
             first = np.repeat(doc[new], np.diff(np.r_[new, len(key)]))
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(row), pa.array(at), pa.array(doc > first)], names=["key", "doc", ROW_KEY, "at", "settled"])
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(row), pa.array(at), pa.array(doc > first)], names=["key", "doc", "text_hash", "at", "settled"])
 
         for b in batches:
             docs, rows = b.column(0).to_numpy(), b.column(2).to_numpy()
@@ -185,7 +87,7 @@ def _send_windows(window: int, core: int):
                         n = len(at)
                         held.append((windows(words, window)[at].view(np.int64), np.full(n, docs[i]), np.full(n, rows[i]), at.astype(np.int32)))
                         size += n
-                if size >= _PORTION:
+                if size >= PORTION:
                     yield from flush()
         yield from flush()
 
@@ -209,30 +111,28 @@ def _later_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         first = np.repeat(firsts, np.diff(np.r_[bounds, n]))
         lost = np.flatnonzero((docs > first) | settled)
         if len(lost):
-            yield pa.RecordBatch.from_arrays([b.column(i).take(pa.array(lost)) for i in (1, 2, 3)], names=["doc", ROW_KEY, "at"])
+            yield pa.RecordBatch.from_arrays([b.column(i).take(pa.array(lost)) for i in (1, 2, 3)], names=["doc", "text_hash", "at"])
         key, least = keys[-1], first[-1]
 
 
 def _lost(docs: DataFrame, window: int, core: int) -> DataFrame:
-    """doc_id, text, the row key, starts (of lost windows), is_copy."""
-    spark = docs.sparkSession
-    n = partitions(spark)
-    own = keyed(docs).withColumn("doc", F.coalesce("doc_id", F.lit(_NULL)))
-    same = F.xxhash64(F.lit(3), F.coalesce("text", F.lit("")))
-    lead = own.select("doc", "text", ROW_KEY, same.alias("text_hash")).mapInArrow(_send_leaders(window, core), _LEAD)
-    by_key = F.when(F.col("settled"), F.xxhash64("doc", ROW_KEY)).otherwise(F.col("key"))
-    shared = lead.repartition(n, by_key).sortWithinPartitions("settled", "key", "text_hash", "doc").mapInArrow(_shared_leaders, f"doc long, {ROW_KEY} long, key long")
-    of_doc = shared.groupBy("doc", ROW_KEY).agg(F.collect_set("key").alias("leaders"))
-    narrow = own.select("doc", ROW_KEY, F.xxhash64(F.lit(3), "text").alias("h1"), F.xxhash64(F.lit(4), "text").alias("h2"), F.octet_length("text").alias("h3")).where("h3 > 0")
-    least = narrow.groupBy("h1", "h2", "h3").agg(F.min("doc").alias("least"), F.count("*").alias("_w_n")).where("_w_n > 1").drop("_w_n")
-    copies = narrow.join(least, ["h1", "h2", "h3"]).where("doc > least").select("doc", ROW_KEY).distinct().withColumn("is_copy", F.lit(True))
-    hints = of_doc.join(copies, ["doc", ROW_KEY], "full")
-    texts = own.select("doc", "doc_id", "text", ROW_KEY).repartition(n, "doc", ROW_KEY)
-    known = texts.select("doc", "text", ROW_KEY, "doc_id").join(hints, ["doc", ROW_KEY], "left")
-    sent = known.select("doc", "text", ROW_KEY, "leaders", "is_copy").mapInArrow(_send_windows(window, core), _OPEN)
-    later = sent.repartition(n, by_key).sortWithinPartitions("settled", "key", "doc").mapInArrow(_later_windows, f"doc long, {ROW_KEY} long, at int")
-    starts = later.groupBy("doc", ROW_KEY).agg(F.collect_list("at").alias("starts"))
-    return texts.join(starts, ["doc", ROW_KEY], "left").join(copies, ["doc", ROW_KEY], "left").select("doc_id", "text", ROW_KEY, "starts", "is_copy")
+    """doc_id, text, starts (of lost windows), is_copy."""
+    n = partitions(docs.sparkSession)
+    own = with_identity(docs)
+    same = ["doc", "text_hash"]
+
+    def leaders_of(texts: list[bytes]) -> Iterator[np.ndarray]:
+        for words in word_hashes(texts):
+            lead = leaders(words, window, core)
+            yield np.unique(lead[first_of(lead)])  # a window that repeats in one document only stays
+
+    copied = copies(own)
+    hints = shared_leaders(own, leaders_of).join(copied, same, "full")
+    texts = own.repartition(n, *same)
+    sent = texts.join(hints, same, "left").select("doc", "text", "text_hash", "leaders", "is_copy").mapInArrow(_send_windows(window, core), _OPEN)
+    later = sent.repartition(n, spread()).sortWithinPartitions("settled", "key", "doc").mapInArrow(_later_windows, "doc long, text_hash long, at int")
+    starts = later.groupBy(*same).agg(F.collect_list("at").alias("starts"))
+    return texts.join(starts, same, "left").join(copied, same, "left").select("doc_id", "text", "starts", "is_copy")
 
 
 def removed_words(n_words: int, starts: np.ndarray | None, is_copy: bool, window: int) -> np.ndarray:
