@@ -161,8 +161,9 @@ class Compiler:
         return df
 
     def _input(self, node: DatasetExpr, source: DataFrame | None) -> DataFrame:
-        df = source if source is not None else scan(self.spark, node.input_path or "", self.base)
-        return df if self.ordered else df.drop(ORDINAL)
+        if source is None:
+            return scan(self.spark, node.input_path or "", self.base, ordinal=self.ordered)
+        return source if self.ordered else source.drop(ORDINAL)
 
     # -- Map ---------------------------------------------------------------
 

@@ -84,14 +84,14 @@ def spread_variant(column: str, schema: T.StructType) -> list[Column]:
     return [F.variant_get(column, "$['" + f.name.replace("'", "\\'") + "']", f.dataType.simpleString()).alias(f.name) for f in schema.fields]
 
 
-def scan(spark: SparkSession, path: str, base: Path | None = None, schema: T.StructType | str | None = None) -> DataFrame:
-    """Rows and ORDINAL.  schema: of JSON input, to save the pass that finds it."""
+def scan(spark: SparkSession, path: str, base: Path | None = None, schema: T.StructType | str | None = None, ordinal: bool = True) -> DataFrame:
+    """Rows and, if wanted, ORDINAL.  schema: of JSON input, to save the pass that finds it."""
     full = _checked(resolve_path(path, base))
     if full.endswith(".parquet"):
         held = spark.read.parquet(full)
-        return held.select("*", _place().alias(ORDINAL))
+        return held.select("*", _place().alias(ORDINAL)) if ordinal else held
     if not full.endswith((".json", ".jsonl")):
         raise QueryValidationError(f"{full} is neither .json, .jsonl nor .parquet")
     rows = _objects(spark, full)
     known: Any = T.DataType.fromDDL(schema) if isinstance(schema, str) else schema
-    return rows.select(*spread_variant("v", known if known is not None else variant_schema(rows)), ORDINAL)
+    return rows.select(*spread_variant("v", known if known is not None else variant_schema(rows)), *([ORDINAL] if ordinal else []))
