@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: What the row-identity column is called inside the operators.
 ROW_KEY = "_w_row"
+#: Tables of this process in the shared folder.
+_WRITTEN: list[str] = []
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,9 +53,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete the tables that ``materialise`` wrote; results that still read them must be written before."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    while _WRITTEN:
+        path = hadoop.Path(_WRITTEN.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     """64 bits that tell rows with the same doc_id but other texts apart; joined together with doc_id."""
     return F.xxhash64(F.col(doc_id), F.col(text))
