@@ -23,10 +23,16 @@ NULL_DOC = -(1 << 63)
 PORTION = 1_000_000
 
 
-def with_identity(docs: DataFrame) -> DataFrame:
-    """doc (never null), doc_id, text, text_hash; doc and text_hash together name a row."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return own.select(F.coalesce("doc_id", F.lit(NULL_DOC)).alias("doc"), "doc_id", "text", F.xxhash64(F.lit(3), F.coalesce("text", F.lit(""))).alias("text_hash"))
+def with_identity(docs: DataFrame, others: list[str] | None = None) -> DataFrame:
+    """doc (never null), text, text_hash; doc and text_hash together name a row.  others: columns to take along, as _w_c0, ..."""
+    text = F.col("text").cast("string")
+    along = [F.col(c).alias(f"_w_c{i}") for i, c in enumerate(others or [])]
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_DOC)).alias("doc"), text.alias("text"), F.xxhash64(F.lit(3), F.coalesce(text, F.lit(""))).alias("text_hash"), *along)
+
+
+def doc_id() -> Column:
+    """The doc_id of a row of ``with_identity``; read from doc, so that every use of the texts asks for the same columns and shares one exchange."""
+    return F.when(F.col("doc") != NULL_DOC, F.col("doc")).alias("doc_id")
 
 
 def spread(key: str = "key") -> Column:
@@ -41,11 +47,16 @@ def copies(own: DataFrame) -> DataFrame:
     return narrow.join(least, ["text_hash", "_w_h", "_w_n"]).where("doc > least").select("doc", "text_hash").distinct().withColumn("is_copy", F.lit(True))
 
 
-def shared_leaders(own: DataFrame, leaders_of: Callable[[list[bytes]], Iterable[np.ndarray]]) -> DataFrame:
-    """doc, text_hash, leaders: the leaders of a text that occur elsewhere too."""
+def shared_leaders(own: DataFrame, leaders_of: Callable[[list[bytes]], Iterable[np.ndarray]], crowd: int | None = None) -> DataFrame:
+    """doc, text_hash, leaders: the leaders of a text that occur elsewhere too; with ``crowd`` also crowded: those that more texts have."""
     lead = own.select("doc", "text", "text_hash").mapInArrow(send_leaders(leaders_of), LEAD)
     dealt = lead.repartition(partitions(own.sparkSession), spread()).sortWithinPartitions("settled", "key", "text_hash", "doc")
-    return dealt.mapInArrow(_shared_leaders, "doc long, text_hash long, key long").groupBy("doc", "text_hash").agg(F.collect_set("key").alias("leaders"))
+    found = dealt.mapInArrow(_shared_leaders, "doc long, text_hash long, key long")
+    if crowd is None:
+        return found.groupBy("doc", "text_hash").agg(F.collect_set("key").alias("leaders"))
+    many = found.groupBy("key").count().where(F.col("count") > crowd).select("key", F.lit(True).alias("_w_many"))
+    marked = found.join(many, "key", "left")
+    return marked.groupBy("doc", "text_hash").agg(F.collect_set("key").alias("leaders"), F.collect_set(F.when(F.col("_w_many"), F.col("key"))).alias("crowded"))
 
 
 def first_of(*keys: np.ndarray) -> np.ndarray:

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, partitions, text_slices
-from .repeats import PORTION, copies, first_of, shared_leaders, spread, with_identity
+from .repeats import PORTION, copies, doc_id, first_of, shared_leaders, spread, with_identity
 from .rolling import sliding_min, windows, word_hashes
 
 WINDOW = 50
@@ -132,7 +132,7 @@ def _lost(docs: DataFrame, window: int, core: int) -> DataFrame:
     sent = texts.join(hints, same, "left").select("doc", "text", "text_hash", "leaders", "is_copy").mapInArrow(_send_windows(window, core), _OPEN)
     later = sent.repartition(n, spread()).sortWithinPartitions("settled", "key", "doc").mapInArrow(_later_windows, "doc long, text_hash long, at int")
     starts = later.groupBy(*same).agg(F.collect_list("at").alias("starts"))
-    return texts.join(starts, same, "left").join(copied, same, "left").select("doc_id", "text", "starts", "is_copy")
+    return texts.join(starts, same, "left").join(copied, same, "left").select(doc_id(), "text", "starts", "is_copy")
 
 
 def removed_words(n_words: int, starts: np.ndarray | None, is_copy: bool, window: int) -> np.ndarray:

@@ -24,6 +24,11 @@ prefixes, over the suffixes that can matter:
    at pairs.
 5. Lost windows of a document merge into maximal spans.
 
+A core that more than ``CROWD`` texts have (the edge of a very common passage
+gives one suffix for each document) would put them all into one merge.  The
+windows under such cores are exchanged by their own content instead, after
+each task has settled those that it has twice.
+
 Copies of a whole text are found by its hash and lose all bytes at once.
 Texts are exchanged once, by document; both joins read that exchange.
 
@@ -46,7 +51,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, partitions, text_slices
-from .repeats import NULL_DOC, copies, shared_leaders, spread, with_identity
+from .repeats import PORTION, copies, doc_id, first_of, shared_leaders, spread, with_identity
 from .rolling import U, byte_symbols, powers, sliding_min, windows
 
 LENGTH = 100
@@ -54,6 +59,7 @@ CORE = 32
 #: Suffixes in a run, and in how many parts (times the shuffle partitions) runs are cut.
 RUN = 150_000
 PARTS = 2
+CROWD = 100_000
 _PLACE = U((1 << 31) - 1)
 
 
@@ -181,53 +187,98 @@ def _decode(block: bytes) -> tuple[list[bytes], list[int], pa.RecordBatch]:
     return suffixes, shared, batch
 
 
-_SENT = "part long, block binary, doc long, text_hash long, start long, stop long"
-_NAMES = ["part", "block", "doc", "text_hash", "start", "stop"]
+_SENT = "part long, block binary, doc long, text_hash long, start long, stop long, settled boolean"
+_NAMES = ["part", "block", "doc", "text_hash", "start", "stop", "settled"]
+
+
+def _sent(part, block, doc, text, start, stop, settled: bool) -> pa.RecordBatch:
+    n = len(part)
+    columns = [pa.array(x, pa.int64()) if x is not None else pa.nulls(n, pa.int64()) for x in (part, doc, text, start, stop)]
+    blocks = pa.array(block, pa.binary()) if block is not None else pa.nulls(n, pa.binary())
+    return pa.RecordBatch.from_arrays([columns[0], blocks, *columns[1:], pa.array(np.full(n, settled))], names=_NAMES)
+
+
+def _settle_windows(key: np.ndarray, doc: np.ndarray, text: np.ndarray, start: np.ndarray, length: int) -> Iterator[pa.RecordBatch]:
+    """The first of each window goes on, the others are lost here; neighbours of one document as one span."""
+    by = np.lexsort((start, doc, key))
+    key, doc, text, start = key[by], doc[by], text[by], start[by]
+    new = first_of(key)
+    at = np.flatnonzero(new)[np.cumsum(new) - 1]
+    lost = (doc != doc[at]) | (start != start[at])
+    yield _sent(key[new], None, doc[new], text[new], start[new], start[new] + length, False)
+    doc, text, start = doc[lost], text[lost], start[lost]
+    by = np.lexsort((start, text, doc))
+    doc, text, start = doc[by], text[by], start[by]
+    if len(doc):
+        new = first_of(doc, text)
+        new[1:] |= start[1:] > start[:-1] + 1
+        first = np.flatnonzero(new)
+        last = np.r_[first[1:], len(doc)] - 1
+        yield _sent(np.zeros(len(first), np.int64), None, doc[first], text[first], start[first], start[last] + length, True)
 
 
 def _send_runs(length: int, core: int, parts: int):
-    """(doc, text, text_hash, leaders, is_copy) -> front-coded runs, one block for each part, and settled spans."""
+    """(doc, text, text_hash, leaders, crowded, is_copy) -> front-coded runs, one block for each part, crowded windows, and settled spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        crowd: list[tuple[np.ndarray, ...]] = []
+        size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            held.sort(key=lambda x: x[1:])  # part, suffix, left, doc, place, text
+            held.sort()  # by part, suffix, left, doc, place
             settled, blocks, run_, before = [], [], [], None
-            for key, part, suffix, left, doc, place, text in held:
+            for part, suffix, left, doc, place, text in held:
                 if before is not None and before[:3] == (part, suffix, left):
                     if before[3:] != (doc, place):
-                        settled.append((part, None, doc, text, place - len(left), place + len(suffix)))
+                        settled.append((doc, text, place - len(left), place + len(suffix)))
                     continue
                 if before is not None and before[0] != part:
-                    blocks.append((before[0], _encode(run_), None, None, None, None))
+                    blocks.append((before[0], _encode(run_)))
                     run_ = []
                 run_.append((suffix, left, doc, place, text))
                 before = (part, suffix, left, doc, place)
             if run_:
-                blocks.append((before[0], _encode(run_), None, None, None, None))
+                blocks.append((before[0], _encode(run_)))
             held.clear()
-            for rows in (settled, blocks):
-                for at in range(0, len(rows), 50_000):
-                    columns = zip(*rows[at : at + 50_000], strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i == 1 else pa.int64()) for i, c in enumerate(columns)], names=_NAMES)
+            if settled:
+                yield _sent([0] * len(settled), None, *zip(*settled, strict=True), True)
+            for at in range(0, len(blocks), 64):
+                yield _sent(*zip(*blocks[at : at + 64], strict=True), None, None, None, None, False)
+
+        def flush_crowd() -> Iterator[pa.RecordBatch]:
+            nonlocal size
+            if crowd:
+                yield from _settle_windows(*(np.concatenate(c) for c in zip(*crowd, strict=True)), length)
+            crowd.clear()
+            size = 0
 
         for b in batches:
-            docs, hashes, is_copy = b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(4).to_pylist()
+            docs, hashes, is_copy = b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(5).to_pylist()
             for start, texts in text_slices(b, 1):
                 for i, text in enumerate(texts, start):
                     if is_copy[i] or not text or not b.column(3)[i].is_valid:
                         continue
                     raw = text.encode()
                     place, key, first, last = led_windows(raw, length, core)
-                    wanted = np.flatnonzero(np.isin(key, b.column(3)[i].values.to_numpy().view(U)))
+                    wanted = np.isin(key, b.column(3)[i].values.to_numpy().view(U))
+                    many = b.column(4)[i].values.to_numpy().view(U)
+                    if len(many):
+                        full = np.isin(key, many)
+                        wanted &= ~full
+                        at = np.concatenate([np.zeros(0, np.int64), *(np.arange(p, to + 1) for p, to in zip(first[full].tolist(), last[full].tolist(), strict=True))])
+                        crowd.append((windows(byte_symbols(raw), length)[at].view(np.int64), np.full(len(at), docs[i]), np.full(len(at), hashes[i]), at))
+                        size += len(at)
                     part = (key[wanted] % U(parts)).tolist()
                     for k, q, p, to in zip(part, place[wanted].tolist(), first[wanted].tolist(), last[wanted].tolist(), strict=True):
-                        held.append((None, k, raw[q : to + length], raw[p:q], docs[i], q, hashes[i]))
+                        held.append((k, raw[q : to + length], raw[p:q], docs[i], q, hashes[i]))
                 if len(held) >= RUN:
                     yield from flush()
+                if size >= PORTION:
+                    yield from flush_crowd()
         if held:
             yield from flush()
+        yield from flush_crowd()
 
     return run
 
@@ -293,16 +344,28 @@ def _merge_part(blocks: list[bytes], length: int) -> pa.RecordBatch | None:
 
 
 def _merge_runs(length: int):
-    """Rows sorted by part -> lost spans."""
+    """Rows sorted by part, doc, start -> lost spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, blocks = None, []
+        window: tuple[int, int, int] | None = None  # the open window's hash, and where it is first
         for b in batches:
-            plain = b.filter(b.column(1).is_null())
-            if plain.num_rows:
-                yield pa.RecordBatch.from_arrays([plain.column(i) for i in (2, 3, 4, 5)], names=_NAMES[2:])
-            coded = b.filter(b.column(1).is_valid())
-            for p, block in zip(coded.column(0).to_pylist(), coded.column(1), strict=True):
+            settled, coded = b.column(6).to_numpy(zero_copy_only=False), b.column(1).is_valid().to_numpy(zero_copy_only=False)
+            plain = np.flatnonzero(~settled & ~coded)
+            lost = np.flatnonzero(settled)
+            if len(plain):
+                key, doc, start = (b.column(i).to_numpy(zero_copy_only=False)[plain].astype(np.int64) for i in (0, 2, 4))
+                new = first_of(key)
+                new[0] = window is None or window[0] != key[0]
+                group = np.cumsum(new)
+                firsts = [(0, 0) if window is None else window[1:], *zip(doc[new].tolist(), start[new].tolist(), strict=True)]
+                at = np.array(firsts, np.int64)[group]
+                lost = np.sort(np.r_[lost, plain[(doc != at[:, 0]) | (start != at[:, 1])]])
+                window = (int(key[-1]), int(at[-1, 0]), int(at[-1, 1]))
+            if len(lost):
+                yield pa.RecordBatch.from_arrays([b.column(i).take(pa.array(lost)) for i in (2, 3, 4, 5)], names=_NAMES[2:6])
+            held = b.filter(pa.array(coded))
+            for p, block in zip(held.column(0).to_pylist(), held.column(1), strict=True):
                 if p != part and blocks:
                     if (found := _merge_part(blocks, length)) is not None:
                         yield found
@@ -315,9 +378,13 @@ def _merge_runs(length: int):
     return run
 
 
-def _lost(docs: DataFrame, length: int, core: int) -> DataFrame:
-    """``docs``' doc_id and text, starts and stops of lost spans, is_copy."""
-    own = with_identity(docs)
+def _lost(docs: DataFrame, length: int, core: int, crowd: int = CROWD, others: list[str] | None = None) -> DataFrame:
+    """``docs``' doc_id and text, starts and stops of lost spans, is_copy, and the other columns as _w_c0, ...
+
+    Both uses of the texts ask for the same columns, so that they share one exchange.
+    """
+    own = with_identity(docs, others)
+    along = [c for c in own.columns if c.startswith("_w_c")]
     n = partitions(docs.sparkSession)
     same = ["doc", "text_hash"]
 
@@ -326,13 +393,12 @@ def _lost(docs: DataFrame, length: int, core: int) -> DataFrame:
             yield led_windows(raw, length, core)[1]
 
     copied = copies(own)
-    hints = shared_leaders(own, leaders_of).join(copied, same, "full")
+    hints = shared_leaders(own, leaders_of, crowd).join(copied, same, "full")
     texts = own.repartition(n, *same)
-    sent = texts.join(hints, same, "left").select("doc", "text", "text_hash", "leaders", "is_copy").mapInArrow(_send_runs(length, core, n * PARTS), _SENT)
-    sent = sent.withColumn("settled", F.col("block").isNull())
-    spans = sent.repartition(n, spread("part")).sortWithinPartitions("part").select(*_NAMES).mapInArrow(_merge_runs(length), "doc long, text_hash long, start long, stop long")
+    sent = texts.join(hints, same, "left").select("doc", "text", "text_hash", "leaders", "crowded", "is_copy", *along).mapInArrow(_send_runs(length, core, n * PARTS), _SENT)
+    spans = sent.repartition(n, spread("part")).sortWithinPartitions("part", "doc", "start").mapInArrow(_merge_runs(length), "doc long, text_hash long, start long, stop long")
     spans = spans.groupBy(*same).agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
-    return texts.join(spans, same, "left").join(copied, same, "left").select("doc", "doc_id", "text", "text_hash", "starts", "stops", "is_copy")
+    return texts.join(spans, same, "left").join(copied, same, "left").select(doc_id(), "text", "starts", "stops", "is_copy", *along)
 
 
 def union(starts: np.ndarray, stops: np.ndarray) -> list[tuple[int, int]]:
@@ -409,10 +475,11 @@ def _rewrite(length: int):
 def drop_repeats(docs: DataFrame, length: int = LENGTH, core: int = CORE) -> DataFrame:
     """``docs`` with its columns, repeated strings gone from ``text``; a character stays whole or goes whole."""
     held = docs.withColumn("text", F.col("text").cast("string"))
-    found = _lost(held, length, core).where("starts is not null or is_copy").select(F.col("doc").alias("_w_doc"), F.col("text_hash").alias("_w_hash"), F.col("starts").alias("_w_starts"), F.col("stops").alias("_w_stops"), F.col("is_copy").alias("_w_copy")).dropDuplicates(["_w_doc", "_w_hash"])
-    own = held.withColumns({"_w_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_DOC)), "_w_h": F.xxhash64(F.lit(3), F.coalesce("text", F.lit("")))})
-    joined = own.join(found, (own["_w_d"] == found["_w_doc"]) & (own["_w_h"] == found["_w_hash"]), "left").drop("_w_doc", "_w_hash", "_w_d", "_w_h")
-    return joined.mapInArrow(_rewrite(length), held.schema)
+    others = [c for c in held.columns if c != "text"]
+    found = _lost(held, length, core, others=others)
+    own = [F.col("text") if c == "text" else F.col(f"_w_c{others.index(c)}").alias(c) for c in held.columns]
+    ends = [F.col(c).alias(f"_w_{c}") for c in ("starts", "stops", "is_copy")]
+    return found.select(*own, *ends).mapInArrow(_rewrite(length), held.schema)
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
