@@ -362,7 +362,10 @@ class Compiler:
                         payloads = [_in_order(read_group(g.values) if g.is_valid else []) for g in batch.column(at)]
                     else:
                         payloads = [{k: v for k, v in r.items() if k != ORDINAL} for r in read(batch)]
-                    yield batch.append_column(_RESULT, pa.array(list(pool.map(ask, payloads)), pa.string()))
+                    step = max(1, min(64, len(payloads) // width))  # each thread takes a few prompts at a time
+                    shares = [payloads[i : i + step] for i in range(0, len(payloads), step)]
+                    answers = [a for share in pool.map(lambda some: [ask(x) for x in some], shares) for a in share]
+                    yield batch.append_column(_RESULT, pa.array(answers, pa.string()))
 
         place = [df.schema[ORDINAL]] if ordered else []
         schema = T.StructType([*rows.types(), *place, T.StructField(_RESULT, T.StringType())])
