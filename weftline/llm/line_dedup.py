@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW_KEY, documents, keyed, materialise, partitions
+from .common import ROW_KEY, documents, keyed, materialise, partitions, row_key
 
 MIN_CHARS = 1
 MIN_DOCS = 10
@@ -211,6 +211,49 @@ def drop_lines(docs: DataFrame, **options) -> DataFrame:
     return joined.mapInArrow(_rewrite, docs.withColumn("text", F.col("text").cast("string")).schema)
 
 
+def _mostly_frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, text, bitmap -> doc_id and text of those that lose half of their non-blank lines or more."""
+    for b in batches:
+        most = []
+        for text, keep in zip(b.column(1), b.column(2), strict=True):
+            lines, count = kept_lines(text.as_py(), keep.as_py())
+            most.append(count - len(lines) >= sum(1 for x in lines if line_key(x)))
+        yield b.select([0, 1]).filter(pa.array(most, pa.bool_()))
+
+
+def _either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, row key, n_lines and two bitmaps -> a line stays if one of them keeps it."""
+    for b in batches:
+        maps = []
+        for one, two in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
+            bits = [np.frombuffer(zlib.decompress(x), np.uint8) for x in (one, two)] if two is not None else None
+            maps.append(zlib.compress((bits[0] | bits[1]).tobytes()) if bits else one)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(maps, pa.binary())], names=["doc_id", ROW_KEY, "keep"])
+
+
+def drop_lines_but_copies(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
+    """``drop_lines``, but no group of copies loses its content.
+
+    Documents that would lose half of their non-blank lines or more are taken
+    for copies of each other: among them the first holder of each frequent line
+    keeps it.  In all others frequent lines go, the first one too.
+    """
+    found = materialise(keep_bitmaps(docs, min_docs, min_chars), "line-bitmaps")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    losing = with_bitmaps(own, found).where("_w_keep is not null")
+    copies = materialise(losing.mapInArrow(_mostly_frequent, "doc_id long, text string"), "line-copies")
+    # Of a line that is not frequent the first bitmap keeps every occurrence.
+    again = keep_bitmaps(copies, 1, min_chars, keep_first=True).select(F.col("doc_id").alias("_w_doc"), F.col(ROW_KEY).alias("_w_key"), F.col("keep").alias("_w_again"))
+    # A copy without a bitmap in the second pass is the first holder of all its lines.
+    whole = copies.select(F.col("doc_id").alias("_w_doc"), row_key().alias("_w_key")).distinct()
+    again = whole.join(again, whole["_w_doc"].eqNullSafe(again["_w_doc"]) & (whole["_w_key"] == again["_w_key"]), "left").select(whole["_w_doc"], whole["_w_key"], "_w_again", F.lit(True).alias("_w_copy"))
+    both = found.join(again, found["doc_id"].eqNullSafe(again["_w_doc"]) & (found[ROW_KEY] == again["_w_key"]), "left")
+    both = both.where("_w_copy is null or _w_again is not null").select("doc_id", ROW_KEY, "n_lines", "keep", "_w_again")
+    bitmaps = both.mapInArrow(_either, f"doc_id long, {ROW_KEY} long, keep binary")
+    joined = with_bitmaps(docs, bitmaps)
+    return joined.mapInArrow(_rewrite, docs.withColumn("text", F.col("text").cast("string")).schema)
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return with_bitmaps(docs, keep_bitmaps(docs)).mapInArrow(_digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
