@@ -384,6 +384,13 @@ def test_shards_prune(spark):
     assert np.mean([r["hi"] - r["lo"] for r in got]) < 700 and np.mean([r["sources"] for r in got]) < 10
 
 
+def test_shards_claim_no_more_than_the_order_gives(spark):
+    rows = [(i, "same text", "en", f"s{i % 2}", 9) for i in range(8)]
+    got = collected(sharding.hilbert_shards(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), shards=2))
+    assert {r["doc_id"] % 2: r["shard"] for r in got} in ({0: 0, 1: 1}, {0: 1, 1: 0})
+    assert "only where their curve cells" in sharding.__doc__
+
+
 # 9 ------------------------------------------------------------------------
 
 
