@@ -384,6 +384,12 @@ def test_shards_prune(spark):
     assert np.mean([r["hi"] - r["lo"] for r in got]) < 700 and np.mean([r["sources"] for r in got]) < 10
 
 
+def test_shards_prune_on_strings_with_one_prefix(spark):
+    docs = spark.range(2000).selectExpr("id doc_id", "'x' text", "concat('https://host/commoncrawl-', id % 16) source")
+    got = sharding.hilbert_shards(docs, shards=16).join(docs, "doc_id").groupBy("shard").agg(F.countDistinct("source").alias("sources")).collect()
+    assert np.mean([r["sources"] for r in got]) < 3
+
+
 def test_shards_claim_no_more_than_the_order_gives(spark):
     rows = [(i, "same text", "en", f"s{i % 2}", 9) for i in range(8)]
     got = collected(sharding.hilbert_shards(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), shards=2))
