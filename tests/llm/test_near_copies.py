@@ -59,3 +59,11 @@ def test_stage_links_at_jaccard_not_at_three_bits(spark):
     assert plain_alike(plain_set(base), plain_set(near)) and (fingerprint(base, 5) ^ fingerprint(near, 5)).bit_count() > 3
     docs = spark.createDataFrame([(1, base, "en", "s", 1, "c"), (2, near, "en", "s", 1, "c")], SCHEMA)
     assert [r["doc_id"] for r in C.simhash(spark, docs, "").collect()] == [1]
+
+
+def test_rows_are_nodes_by_id_and_text(spark):
+    one, two, three = (text_of(s, 80) for s in (801, 802, 803))
+    rows = [(7, one, "en", "s", 1, "c"), (7, two, "en", "s", 1, "c"), (7, two, "en", "s", 1, "c"), (9, one, "en", "s", 1, "c"), (None, three, "en", "s", 1, "c"), (None, three, "en", "s", 1, "c"), (None, two, "en", "s", 1, "c")]
+    for parts in (1, 4):
+        got = C.simhash(spark, spark.createDataFrame(rows, SCHEMA).repartition(parts), "").collect()
+        assert sorted((str(r["doc_id"]), r["text"]) for r in got) == sorted([("7", one), ("7", two), ("None", three)])
