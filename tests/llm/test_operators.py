@@ -41,7 +41,6 @@ def test_packing(spark, odd, nothing, tmp_path):
     import public_tokenizers
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
-    tokenizer.encode_special_tokens = True
     got = collected(packing.pack(odd, capacity=256))
     want = Counter()
     for doc, text in ROWS:
@@ -75,6 +74,51 @@ def test_packing_tree_moves_whole_bins(spark):
     assert len(fills) <= -(-sum(fills.values()) // 512) * 1.1 + 1
 
 
+def test_packing_seals_nothing_that_could_still_be_merged(spark):
+    """Ninety bins just over half full in eight partitions, and one small one in a ninth: it finds a place, and none is lost."""
+    docs = spark.createDataFrame([(i, "a " * (130 + i % 3)) for i in range(90)], "doc_id long, text string").repartition(8)
+    small = spark.createDataFrame([(100, "a " * 40)], "doc_id long, text string").coalesce(1)
+    got = collected(packing.pack(docs.union(small), capacity=256, fan_in=2))
+    fills = Counter()
+    for r in got:
+        fills[r["sequence_id"]] += r["length"]
+    assert len(fills) == 90 and max(fills.values()) <= 256 and len(got) == 91
+
+
+def test_merge_keeps_of_each_fill_as_many_as_there_are_groups():
+    import pyarrow as pa
+
+    sizes = [130] * 50 + [140] * 50
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100), pa.int64()), pa.array(sizes, pa.int64())], names=["bin", "fill"])
+    (out,) = packing._merge(256, 248, 3)(iter([batch]))
+    assert Counter(out.column("fill").to_pylist()) == {130: 3, 140: 3, 256: 94}
+    assert out.column("bin").to_pylist() == out.column("parent").to_pylist()
+
+
+def test_packing_production_size_meets_the_lower_bound(spark):
+    """2,048 places, slack 8: at most 1 % and one sequence more than the tokens need."""
+    docs = spark.createDataFrame([(i, text_of(i, 5 + i * 37 % 160)) for i in range(600)] + [(999, "<|endoftext|> x <|endoftext|>\n <|endoftext|>")], "doc_id long, text string").repartition(6)
+    got = collected(packing.pack(docs))
+    total = sum(r["length"] for r in got)
+    assert len({r["sequence_id"] for r in got}) <= -(-total // 2048) * 1.01 + 1
+
+
+SPECIAL = ["<|endoftext|> x", "a<|endoftext|>", "\n <|endoftext|> \n", "<|endoftext|><|endoftext|>", "x  <|endoftext|>"]
+
+
+@given(st.lists(st.one_of(st.sampled_from(SPECIAL), st.text(alphabet=" \n\t\x1c\x85\xa0 aZé漢'slt01._<|>", max_size=30)), max_size=8))
+@settings(max_examples=100, deadline=None)
+def test_packing_ids_are_the_tokenizers(texts):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    plain = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    ids, ends = packing._memo(public_tokenizers.path(packing.TOKENIZER)).ids(pa.array(texts, pa.string()))
+    assert [x.tolist() for x in np.split(ids, ends[:-1])][: len(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @given(st.lists(st.integers(1, 64), max_size=80))
 @settings(max_examples=60, deadline=None)
 def test_best_fit(sizes):
@@ -314,10 +358,13 @@ def test_bpe_is_exact(texts):
 
 
 def test_chunk_memory_is_bounded():
-    memo = chunks.ChunkMemo(lambda texts: ([len(t)] for t in texts), limit=10)
+    import pyarrow as pa
+
+    memo = chunks.ChunkMemo(lambda texts: [np.array([len(t)], "<u4").tobytes() for t in texts], limit=10)
     for i in range(100):
-        memo.ids([f"a{i} b{i} " + "x" * 200, None])
-        assert len(memo.young) + len(memo.old) < 40
+        ids, ends = memo.ids(pa.array([f"a{i} b{i} " + "x" * 200, None, f"a{i}  b{i}"]))
+        assert ends.tolist() == [3, 3, 6] and ids.tolist()[:3] == [len(f"a{i}"), len(f" b{i}"), 201]
+        assert len(memo.any) + len(memo.after_space) < 80
 
 
 # 7 ------------------------------------------------------------------------

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .chunks import ChunkMemo
-from .common import documents, text_slices
+from .common import documents, text_columns
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Bytes 0-255 stand as U+0100-U+01FF: letters that no normalisation touches.
@@ -88,29 +88,34 @@ class ByteBpe:
         self.ranks = read_ranks(path)
         self.pieces = [p for p, _ in sorted(self.ranks.items(), key=lambda item: item[1])]
         self.names = [str(i) for i in range(len(self.pieces))]
+        self.codes = [struct.pack("<I", i) for i in range(len(self.pieces))]
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise_model(self.ranks))
         self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.memo = ChunkMemo(self._encode_chunks)
 
-    def _encode_chunks(self, texts: list[str]) -> Iterator[list[int]]:
-        cut = [self.split(t) for t in texts]
-        known: dict[str, list[int]] = {}
+    def _encode_chunks(self, texts: list[str]) -> list[bytes]:
+        # A chunk of ASCII letters is a pre-token as it is.
+        cut = [[t] if (w := t[1:] if t[:1] == " " else t).isascii() and w.isalpha() else self.split(t) for t in texts]
+        known: dict[str, bytes] = {}
         open_ = []
-        for token in set().union(*cut):
+        for token in {t for tokens in cut for t in tokens}:
             raw = token.encode()
             rank = self.ranks.get(raw)
             if rank is None:
                 open_.append((token, letters(raw)))
             else:
-                known[token] = [rank]
+                known[token] = self.codes[rank]
         if open_:
             for (token, _), ids in zip(open_, self.model.encode([x for _, x in open_], out_type=int, num_threads=1), strict=True):
-                known[token] = [i - 1 for i in ids]
-        for tokens in cut:
-            yield [i for t in tokens for i in known[t]]
+                known[token] = (np.array(ids, "<u4") - np.uint32(1)).tobytes()
+        return [known[tokens[0]] if len(tokens) == 1 else b"".join(map(known.__getitem__, tokens)) for tokens in cut]
+
+    def encode_column(self, texts: pa.Array) -> list[np.ndarray]:
+        ids, ends = self.memo.ids(texts)
+        return np.split(ids, ends[:-1]) if len(ends) else []
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        return [np.frombuffer(x, "<u4") for x in self.memo.ids(texts)]
+        return self.encode_column(pa.array(texts, pa.string()))
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.pieces.__getitem__, ids))
@@ -128,8 +133,8 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path or vocabulary_path())
         for b in batches:
-            for start, texts in text_slices(b, 1):
-                ids = [x.astype(np.int32) for x in bpe.encode(texts)]
+            for start, texts in text_columns(b, 1, 8 << 20):
+                ids = [x.astype(np.int32) for x in bpe.encode_column(texts)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(start, len(texts)), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, ids array<int>")
@@ -151,9 +156,9 @@ def _digest(path: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path or vocabulary_path())
         for b in batches:
-            for start, texts in text_slices(b, 1):
+            for start, texts in text_columns(b, 1, 8 << 20):
                 n, of_ids, of_bytes = [], [], []
-                for ids in bpe.encode(texts):
+                for ids in bpe.encode_column(texts):
                     ids = ids.tolist()
                     n.append(len(ids))
                     of_ids.append(hashlib.sha256(" ".join(map(bpe.names.__getitem__, ids)).encode()).hexdigest())

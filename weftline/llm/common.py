@@ -79,8 +79,8 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def text_slices(batch, at: int, most_bytes: int = 4 << 20):
-    """(start, texts) of a record batch's string column, a few MB at a time."""
+def text_columns(batch, at: int, most_bytes: int = 4 << 20):
+    """(start, part) of a record batch's string column, a few MB at a time."""
     import numpy as np
     import pyarrow.compute as pc
 
@@ -90,5 +90,11 @@ def text_slices(batch, at: int, most_bytes: int = 4 << 20):
     while start < n:
         base = sizes[start - 1] if start else 0
         stop = max(start + 1, int(np.searchsorted(sizes, base + most_bytes, "right")))
-        yield start, column.slice(start, stop - start).to_pylist()
+        yield start, column.slice(start, stop - start)
         start = stop
+
+
+def text_slices(batch, at: int, most_bytes: int = 4 << 20):
+    """(start, texts) of a record batch's string column, a few MB at a time."""
+    for start, column in text_columns(batch, at, most_bytes):
+        yield start, column.to_pylist()

@@ -3,17 +3,21 @@
 1. Each partition encodes its texts, cuts over-long documents and packs the
    pieces best-fit decreasing, ``WINDOW`` pieces at a time.  Ids never leave
    the task; what comes out is one narrow row per piece.
-2. Bins with at most ``SLACK`` free places are sealed.  The others are items of
-   the next round: groups of ``FAN_IN`` partitions pack their underfull bins
+2. Bins with fewer than ``SLACK`` free places are sealed.  The others are items
+   of the next round: groups of ``FAN_IN`` partitions pack their underfull bins
    best-fit, seal, and so on up the tree to one group.
 3. The rounds' moves (bin -> parent bin, offset) are composed and joined to the
-   pieces once.  They concern underfull bins only, a few per partition.
+   pieces once.  They concern underfull bins only.
 
-Memory is bounded: a round passes on the ``MAX_OPEN`` emptiest bins of a task
-and seals the fuller ones (which hardly take anything any more).  Rows are
-never dropped.
+Memory is bounded without a cap on bins: after best-fit, no two open bins of a
+group fit together, so at most one of them is half full or less, and any later
+merge takes one of those.  In the groups of a round there are thus no more such
+bins than groups, and of open bins with one and the same fill no more than that
+can ever be merged; further ones are sealed, which changes no later merge.  A
+group hands on at most (number of groups) x (capacity / 2) bins.
 
-Defined cases: a null or empty text is the separator alone; rows with the same
+Defined cases: a null or empty text is the separator alone; strings of special
+tokens are ids of these tokens, as the tokenizer file says; rows with the same
 doc_id are packed as documents of their own; equal lengths are placed in input
 order; an empty table gives no rows; other columns are ignored.
 """
@@ -31,14 +35,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import ChunkMemo
-from .common import documents, materialise, text_slices
+from .common import documents, materialise, text_columns
 
 CAPACITY = 2048
 SEPARATOR = 0
 SLACK = 8
 FAN_IN = 8
 WINDOW = 200_000
-MAX_OPEN = 50_000
 TOKENIZER = "byte_bpe_50k.json"
 _PLACE = 33
 
@@ -72,13 +75,35 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
     return bins, offsets, np.asarray(fills, np.int64)
 
 
+#: Chunks that are encoded in one call, as segments between special tokens.
+_AT_ONCE = 1000
+
+
 @lru_cache(maxsize=2)
 def _memo(path: str) -> ChunkMemo:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return ChunkMemo(lambda texts: (e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)))
+    added = tokenizer.get_added_tokens_decoder()
+    # A special token that takes no characters beside it keeps its neighbours apart, so that one call encodes many chunks.
+    plain = [(i, t.content) for i, t in added.items() if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
+    if len(added) != 1 or not plain:
+        return ChunkMemo(lambda texts: [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)], limit=0)
+    wall, string = plain[0]
+
+    def encode_many(texts: list[str]) -> list[bytes]:
+        if len(texts) == 1:
+            return [np.array(tokenizer.encode(texts[0], add_special_tokens=False).ids, "<u4").tobytes()]
+        out: list[bytes] = []
+        for at in range(0, len(texts), _AT_ONCE):
+            some = texts[at : at + _AT_ONCE]
+            ids = np.array(tokenizer.encode_batch_fast([string.join(some)], add_special_tokens=False)[0].ids, "<u4")
+            walls = np.flatnonzero(ids == wall).tolist()
+            raw = ids.tobytes()
+            out += [raw[4 * a : 4 * b] for a, b in zip([0, *(w + 1 for w in walls)], [*walls, len(ids)], strict=True)]
+        return out
+
+    return ChunkMemo(encode_many, special=string)
 
 
 def _cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -103,25 +128,32 @@ def _pieces(path: str | None, capacity: int, separator: int):
             memo = _memo(path)
         end = np.asarray([separator], "<u4").tobytes()
         base = TaskContext.get().partitionId() << _PLACE
-        rows: list[tuple] = []
+        docs: list[int | None] = []
+        rows: list[tuple[int, int, int, int]] = []
 
         def flush() -> pa.RecordBatch:
             nonlocal base
-            columns = [np.asarray(c) for c in zip(*(r[1:] for r in rows), strict=True)]
+            columns = np.asarray(rows, np.int64).T
             bins, offsets, fills = best_fit(columns[2], capacity)
-            out = [pa.array([r[0] for r in rows], pa.int64()), pa.array(columns[0].astype(np.int32)), *map(pa.array, columns[1:]), pa.array(bins + base), pa.array(offsets), pa.array(fills[bins])]
+            out = [pa.array(docs, pa.int64()), pa.array(columns[0].astype(np.int32)), *map(pa.array, columns[1:]), pa.array(bins + base), pa.array(offsets), pa.array(fills[bins])]
             base += len(fills)
+            docs.clear()
             rows.clear()
             return pa.RecordBatch.from_arrays(out, names=[x.split()[0] for x in _PIECES.split(", ")])
 
+        crc = zlib.crc32
         for b in batches:
-            ids = b.column(0)
-            for at, texts in text_slices(b, 1):
-                for doc, raw in zip(ids.slice(at, len(texts)).to_pylist(), memo.ids(texts), strict=True):
-                    raw += end
-                    view = memoryview(raw)
-                    for k, (start, length) in enumerate(_cut(len(raw) // 4, capacity)):
-                        rows.append((doc, k, start, length, zlib.crc32(view[4 * start : 4 * (start + length)])))
+            names = b.column(0)
+            for at, texts in text_columns(b, 1, 8 << 20):
+                ids, ends = memo.ids(texts)
+                raw, begin = memoryview(ids.tobytes()), 0
+                for doc, stop in zip(names.slice(at, len(texts)).to_pylist(), ends.tolist(), strict=True):
+                    for k, (start, length) in enumerate(_cut(stop - begin + 1, capacity)):
+                        last = min(begin + start + length, stop)
+                        found = crc(raw[4 * (begin + start) : 4 * last])
+                        docs.append(doc)
+                        rows.append((k, start, length, found if last - begin - start == length else crc(end, found)))
+                    begin = stop
                 while len(rows) >= WINDOW:
                     yield flush()
         if rows:
@@ -130,7 +162,9 @@ def _pieces(path: str | None, capacity: int, separator: int):
     return run
 
 
-def _merge(capacity: int, sealed_from: int, max_open: int):
+def _merge(capacity: int, sealed_from: int, groups: int):
+    """A group of the round's ``groups``: bin -> parent bin, offset there, and the parent's fill (``capacity`` if sealed)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
@@ -139,8 +173,10 @@ def _merge(capacity: int, sealed_from: int, max_open: int):
         own, sizes = table["bin"].to_numpy(), table["fill"].to_numpy()
         bins, offsets, fills = best_fit(sizes, capacity)
         still = fills.copy()
-        if (n_open := int((fills < sealed_from).sum())) > max_open:
-            still[np.argsort(fills, kind="stable")[max_open:n_open]] = capacity
+        by_fill = np.argsort(fills, kind="stable")
+        run_ = fills[by_fill]
+        nth = np.arange(len(run_)) - np.searchsorted(run_, run_)
+        still[by_fill[(nth >= groups) | (run_ >= sealed_from)]] = capacity
         first = np.zeros(len(fills), np.int64)
         first[bins[offsets == 0]] = own[offsets == 0]  # a bin is named after its first member: unique without a counter
         yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(first[bins]), pa.array(offsets), pa.array(still[bins])], names=["bin", "parent", "moved", "fill"])
@@ -161,7 +197,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, separator: int = SEPARATOR,
     while True:
         parts = -(-parts // fan_in)
         grouped = open_bins.withColumn("part", F.expr(f"part div {fan_in}"))
-        step = grouped.repartition(parts, "part").select("bin", "fill").mapInArrow(_merge(capacity, sealed_from, MAX_OPEN), "bin long, parent long, moved long, fill long")
+        step = grouped.repartition(parts, "part").select("bin", "fill").mapInArrow(_merge(capacity, sealed_from, parts), "bin long, parent long, moved long, fill long")
         step = materialise(step, "pack-moves")
         part = grouped.select(F.col("bin").alias("_w_bin"), "part")
         if moves is None:
