@@ -212,3 +212,54 @@ def test_filters_reach_the_scan(spark):
     text = df._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(user_id,2)" in text
     assert "props" not in text and "ReadSchema: struct<event_id:bigint,user_id:bigint>" in text
+
+
+def test_shared_folder_is_asked_for_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from weftline.sources.shared import shared_dir
+
+    def session(master, named=None, held=None):
+        set_ = []
+        scala = SimpleNamespace(isDefined=lambda: bool(held or set_), get=lambda: (set_ or [held])[-1])
+        context = SimpleNamespace(master=master, getConf=lambda: {"spark.checkpoint.dir": named} if named else {}, setCheckpointDir=set_.append, _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: scala)))
+        return SimpleNamespace(sparkContext=context)
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]", "k8s://https://host"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            shared_dir(session(master))
+        assert shared_dir(session(master, named="hdfs://x/y")) == "hdfs://x/y"
+    assert shared_dir(session("local[4]")).startswith("file:/") and shared_dir(session("yarn", held="s3a://b/c")) == "s3a://b/c"
+
+
+def test_bad_json_is_named_with_its_line(spark, tmp_path):
+    path = tmp_path / "r.jsonl"
+    path.write_text('{"a": 1}\n\n{"a": 2}\n{"a": oops\n')
+    with pytest.raises(Exception, match=r"invalid JSON in .*r\.jsonl at line 4 from byte 0: \{\"a\": oops"):
+        wl.execute(Input(str(path)), spark=spark)
+
+
+def test_paths_belong_to_sparks_file_system(spark, tmp_path):
+    path = lines(tmp_path / "r.jsonl", [{"a": 1}])
+    assert wl.execute(Input(f"file://{path}"), spark=spark) == [{"a": 1}]
+    with pytest.raises(QueryValidationError, match="no input"):
+        wl.execute(Input(str(tmp_path / "none.jsonl")), spark=spark)
+
+
+def test_field_names_that_look_like_types(spark, tmp_path):
+    rows = [{"OBJECT<x": 1, "b": {"c": [1, 2]}}]
+    assert wl.execute(Input(lines(tmp_path / "r.jsonl", rows)), spark=spark) == rows
+
+
+def test_results_without_a_json_form_are_errors(spark, tmp_path):
+    import datetime
+
+    data = Input(lines(tmp_path / "r.jsonl", [{"event_id": 1, "k": 1}, {"event_id": 5, "k": 1}]))
+    from weftline.operators.compiler import _plain
+
+    with pytest.raises(TypeError, match="declare"):
+        json.dumps({"day": datetime.date(2020, 1, 2)}, default=_plain)
+    # Declared results of reducers keep their types.
+    assert wl.execute(Reduce(data, "k", table_ops.sum_ids), spark=spark, native=False) == [{"k": 1, "total": 6, "count": 2}]
+    assert wl.execute(Reduce(Filter(data, table_ops.never), "_all", table_ops.sum_ids), spark=spark, native=False) == [{"total": None, "count": 0}]
+    assert wl.execute(Reduce(data, "k", table_ops.count_rows), spark=spark) == [{"k": 1, "count": 2}]

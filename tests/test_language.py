@@ -138,6 +138,18 @@ def test_rewrite():
         wl.rewrite(text, wl.StaticLLMClient("no code at all"))
 
 
+def test_rewrite_logs_its_prompt(caplog):
+    text = 'from weftline import Input\nout = Input("a.json")'
+    with caplog.at_level("DEBUG", logger="weftline.plans.rewrite"):
+        wl.rewrite(text, wl.StaticLLMClient(text), "less work")
+    assert "less work" in caplog.text and 'Input("a.json")' in caplog.text
+
+
+def test_constructors_bring_schemas_to_the_short_form():
+    long = {"type": "object", "properties": {"a": {"type": "string"}}, "required": ["a"]}
+    assert Map(Input("a.json"), "p", schema=long).spec.output_schema == {"a": "string"}
+
+
 def test_catalog(tmp_path: Path):
     (tmp_path / "udfs").mkdir()
     (tmp_path / "udfs" / "a.py").write_text('def f(row):\n    """Code."""\n\nasync def g(row): ...\n\nclass C: ...\n')

@@ -17,5 +17,6 @@ def frame_range(start: Column, end: Column, fps: Column, n_frames: Column) -> di
 
 
 def offset_text(seconds: Column) -> Column:
-    """``10s``, ``20.5s``."""
-    return F.concat(F.regexp_replace(seconds.cast("string"), r"\.0$", ""), F.lit("s"))
+    """``10s``, ``20.5s``; whole seconds of any size stand in digits."""
+    whole = (seconds == F.floor(seconds)) & (F.abs(seconds) < 1e18)
+    return F.concat(F.when(whole, F.floor(seconds).cast("string")).otherwise(seconds.cast("string")), F.lit("s"))

@@ -14,9 +14,11 @@ Detect    ``mapInArrow``, one detector per worker
 ========  ==========================================================================
 
 A function says what it returns by its attribute ``returns`` (a DDL string or a
-StructType).  Without it the results are kept as VARIANT, persisted, and one
-pass finds their fields; a field that some rows' results lack keeps its old
-value there.
+StructType).  Without it the results are kept as VARIANT and written once to the
+shared folder, where a pass finds their fields: the function is not called
+again, also not after an executor is lost.  A field that some rows' results lack
+keeps its old value there.  Such results hold what JSON can say; dates, decimals
+and bytes are an error that asks for ``returns``.
 
 Rows go to Python as Arrow batches and ``to_pylist``, which keeps nulls,
 integers and nesting; VARIANT columns travel as JSON text.
@@ -26,6 +28,7 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 from collections.abc import Callable, Iterator, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from importlib.util import find_spec
@@ -42,6 +45,7 @@ from ..functions.prompts import resolve_prompt
 from ..plans.nodes import ALL_ROWS, UDF_PACKAGE, DatasetExpr, DetectSpec, PromptSpec, QueryProgram, QueryValidationError, UdfSpec
 from ..plans.schema import to_struct_type
 from ..sources.scan import ORDINAL, next_place, scan, spread_variant, variant_schema
+from ..sources.shared import shared_dir
 from .detect import DETECTIONS, Backend, detect_row
 from .executors import PromptExecutor
 
@@ -95,7 +99,14 @@ class _Rows:
 
 
 def _plain(value: Any) -> Any:
-    return str(value)
+    raise TypeError(f"{type(value).__name__} has no form in JSON; let the function declare what it returns")
+
+
+def _written(df: DataFrame) -> DataFrame:
+    """The rows, written once."""
+    path = f"{shared_dir(df.sparkSession)}/results-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _fields(result: Any, what: str) -> dict[str, Any]:
@@ -207,7 +218,7 @@ class Compiler:
 
     def _merge_open(self, df: DataFrame) -> DataFrame:
         """Fields of a VARIANT result, found by a pass over it, over the row."""
-        held = df.persist()
+        held = _written(df)
         schema = variant_schema(held, _RESULT)
         new = {}
         for f, column in zip(schema.fields, spread_variant(_RESULT, schema), strict=True):
@@ -258,11 +269,13 @@ class Compiler:
             answered = self._ask(node, df, grouped=True, keys=keys).withColumn(_RESULT, F.from_json(_RESULT, schema))
             return self._keys_and(answered, keys, {f.name: F.col(f"{_RESULT}.{quoted(f.name)}").alias(f.name) for f in schema.fields}, coded)
         assert isinstance(spec, UdfSpec)
-        reduced = self._call_per_group(df, keys, spec)
         declared = _declared(spec)
+        if declared is not None and has_variant(declared):
+            declared = None
+        reduced = self._call_per_group(df, keys, spec, declared)
         if declared is not None:
-            return self._keys_and(reduced.withColumn(_RESULT, F.from_json(_RESULT, declared)), keys, {f.name: F.col(f"{_RESULT}.{quoted(f.name)}").alias(f.name) for f in declared.fields})
-        held = reduced.withColumn(_RESULT, F.parse_json(_RESULT)).persist()
+            return self._keys_and(reduced, keys, {f.name: F.col(f"{_RESULT}.{quoted(f.name)}").alias(f.name) for f in declared.fields})
+        held = _written(reduced.withColumn(_RESULT, F.parse_json(_RESULT)))
         schema = variant_schema(held, _RESULT)
         return self._keys_and(held, keys, dict(zip(schema.fieldNames(), spread_variant(_RESULT, schema), strict=True)))
 
@@ -285,31 +298,35 @@ class Compiler:
         least = [F.min(ORDINAL).alias(ORDINAL)] if place else []
         return self._by(df, keys).agg((F.array_sort(held) if place else held).alias(_GROUP), *least), rows
 
-    def _call_per_group(self, df: DataFrame, keys: tuple[str, ...], spec: UdfSpec) -> DataFrame:
-        """Keys, the function's result as JSON text, and the place of the group's first row."""
+    def _call_per_group(self, df: DataFrame, keys: tuple[str, ...], spec: UdfSpec, declared: T.StructType | None) -> DataFrame:
+        """Keys, the function's result (as declared, else as JSON text), and the place of the group's first row."""
+        from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
+
         name = f"{spec.module}.{spec.name}"
+        returned: T.DataType = declared or T.StringType()
+
+        def result(rows: list[dict[str, Any]], function: Callable[..., Any]) -> Any:
+            found = _fields(function(rows), name)
+            return {k: found.get(k) for k in declared.fieldNames()} if declared is not None else json.dumps(found, default=_plain)
+
         if not keys:
             grouped, rows = self._collected(df, ())
             read = rows.reader()
 
+            returned_arrow = to_arrow_type(returned)
+
             def whole(batch: pa.Array) -> pa.Array:
                 function = spec.load()
-                results = []
-                for group in batch:
-                    held = _in_order(read(group.values) if group.is_valid else [])
-                    results.append(json.dumps(_fields(function(held), name), default=_plain))
-                return pa.array(results, pa.string())
+                return pa.array([result(_in_order(read(group.values) if group.is_valid else []), function) for group in batch], returned_arrow)
 
-            return grouped.withColumn(_RESULT, F.arrow_udf(whole, "string")(F.col(_GROUP))).drop(_GROUP)
+            return grouped.withColumn(_RESULT, F.arrow_udf(whole, returned)(F.col(_GROUP))).drop(_GROUP)
         only = _reads(spec)
         rows = _Rows(df, None if only is None else {*only, *keys})
         read = rows.reader()
         ordered = ORDINAL in df.columns
         sent = df.select(*rows.columns(), *([ORDINAL] if ordered else []))
         key_types = [f for f in rows.types() if f.name in keys]
-        schema = T.StructType([*key_types, T.StructField(_RESULT, T.StringType()), *([df.schema[ORDINAL]] if ordered else [])])
-        from pyspark.sql.pandas.types import to_arrow_schema
-
+        schema = T.StructType([*key_types, T.StructField(_RESULT, returned), *([df.schema[ORDINAL]] if ordered else [])])
         kind = to_arrow_schema(schema)
 
         def per_group(table: pa.Table) -> pa.Table:
@@ -317,7 +334,7 @@ class Compiler:
             raw = table.to_pylist()
             first = min(raw, key=lambda r: _place(r[ORDINAL])) if ordered else raw[0]
             out = {f.name: first[f.name] for f in key_types}
-            out[_RESULT] = json.dumps(_fields(function(_in_order(read(table.drop_columns(list(coded.values()))))), name), default=_plain)
+            out[_RESULT] = result(_in_order(read(table.drop_columns(list(coded.values())))), function)
             if ordered:
                 out[ORDINAL] = first[ORDINAL]
             return pa.Table.from_pylist([out], schema=kind)

@@ -17,6 +17,7 @@ from .nodes import (
     normalize_group_by,
     udf_spec_from_callable,
 )
+from .schema import normalize_output_schema
 
 #: JSON as in the query language, and Parquet besides.
 SUFFIXES = (".json", ".jsonl", ".parquet")
@@ -44,7 +45,7 @@ def prompt_parts(parts: Sequence[Any], kind: str, inside: bool = False) -> tuple
     """Checked parts of a prompt.  Rows are in scope in Map and Filter, and inside of ForEach in Reduce."""
     for part in parts:
         if isinstance(part, RecordPath):
-            if part.is_root():
+            if not part.path:
                 raise QueryValidationError("Record needs a field: Record['field']")
             if kind == "reduce" and not inside:
                 raise QueryValidationError("a Reduce prompt reaches rows through ForEach([...]) only; Record stands inside of it")
@@ -67,7 +68,7 @@ def prompt_spec(value: Any, kind: str, schema: Any) -> PromptSpec:
         raise TypeError("a prompt has at least one part")
     if kind != "filter" and schema is None:
         raise TypeError(f"a {kind} prompt needs schema=")
-    return PromptSpec(parts, schema)
+    return PromptSpec(parts, normalize_output_schema(schema))
 
 
 def _spec(value: Any, kind: str, schema: Any = None) -> PromptSpec | UdfSpec:

@@ -25,6 +25,7 @@ from .plans.nodes import DatasetExpr, PromptSpec, Record
 from .plans.rewrite import optimize
 from .plans.text import parse_query, render_query
 from .sources.scan import ORDINAL
+from .sources.shared import shared_dir
 from .streaming.queries import compile_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -217,9 +218,7 @@ def optimized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("select o_orderkey, o_totalprice, o_orderstatus from orders")
 def json_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    root = held.get() if held.isDefined() else spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    path = f"{root}/orders-{uuid.uuid4().hex}.jsonl"
+    path = f"{shared_dir(spark)}/orders-{uuid.uuid4().hex}.jsonl"
     spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_totalprice", "o_orderstatus").write.json(path)
     return _run(spark, Input(path)).select("o_orderkey", "o_totalprice", "o_orderstatus")
 
@@ -251,8 +250,7 @@ def detect(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("""select event_id, tags from (select event_id, user_id, unnest(case when event_type = 'view' then [] else [event_type, 'all'] end) as tags from events) where user_id >= 2""")
 def stream_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Map, Filter and Unnest on a stream of the events, run to its end."""
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    root = f"{held.get() if held.isDefined() else 'file:///tmp/checkpoints'}/stream-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     path = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(path).schema
     # A file source takes folders; a single file is found by a pattern.

@@ -28,8 +28,11 @@ def resolve_path(path: str, base: Path | None) -> str:
     return path if _SCHEME.match(path) or Path(path).is_absolute() or base is None else str(base / path)
 
 
-def _checked(path: str) -> str:
-    if not _SCHEME.match(path) and not Path(path).exists():
+def _checked(spark: SparkSession, path: str) -> str:
+    """The path, if Spark finds it; one without a scheme is looked up in Spark's default file system."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(place)
+    if not found:
         raise QueryValidationError(f"there is no input {path}")
     return path
 
@@ -44,6 +47,12 @@ def next_place(position: str) -> Column:
     return F.struct(F.col(ORDINAL).alias("row"), F.coalesce(F.col(position), F.lit(0)).alias("item")).alias(ORDINAL)
 
 
+def _no_json() -> Column:
+    """What is said of a line that is no JSON.  Lines are counted from the start of the split, which for most files is the whole file."""
+    line = F.col(ORDINAL)["row"].bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return F.concat(F.lit("invalid JSON in "), F.col(ORDINAL)["file"], F.lit(" at line "), line.cast("string"), F.lit(" from byte "), F.col(ORDINAL)["block"].cast("string"), F.lit(": "), F.substring("value", 1, 200))
+
+
 def _objects(spark: SparkSession, path: str) -> DataFrame:
     """ORDINAL and ``v``, one object each."""
     if path.endswith(".json"):
@@ -53,7 +62,9 @@ def _objects(spark: SparkSession, path: str) -> DataFrame:
         rows = rows.select(next_place("_at"), "v")
     else:
         lines = spark.read.text(path).select("value", _place().alias(ORDINAL))
-        rows = lines.where(F.trim(F.regexp_replace("value", r"\s", "")) != "").select(ORDINAL, F.parse_json("value").alias("v"))
+        held = lines.where(F.trim(F.regexp_replace("value", r"\s", "")) != "")
+        parsed = F.try_parse_json("value")
+        rows = held.select(ORDINAL, F.when(parsed.isNotNull(), parsed).otherwise(F.raise_error(_no_json()).cast("variant")).alias("v"))
     is_object = F.schema_of_variant("v").startswith("OBJECT")
     return rows.withColumn("v", F.when(is_object, F.col("v")).otherwise(F.raise_error(F.lit(f"{path} has a row that is no object")).cast("variant")))
 
@@ -74,7 +85,9 @@ def variant_schema(rows: DataFrame, column: str = "v") -> T.StructType:
     ddl = rows.agg(F.schema_of_variant_agg(column)).first()[0]
     if not ddl.startswith("OBJECT<"):
         return T.StructType([])
-    found = typed(T.DataType.fromDDL(ddl.replace("OBJECT<", "STRUCT<")))
+    # Between backquotes stand field names, which stay as they are.
+    spelled = "`".join(part if at % 2 else part.replace("OBJECT<", "STRUCT<") for at, part in enumerate(ddl.split("`")))
+    found = typed(T.DataType.fromDDL(spelled))
     assert isinstance(found, T.StructType)
     return found
 
@@ -86,7 +99,7 @@ def spread_variant(column: str, schema: T.StructType) -> list[Column]:
 
 def scan(spark: SparkSession, path: str, base: Path | None = None, schema: T.StructType | str | None = None, ordinal: bool = True) -> DataFrame:
     """Rows and, if wanted, ORDINAL.  schema: of JSON input, to save the pass that finds it."""
-    full = _checked(resolve_path(path, base))
+    full = _checked(spark, resolve_path(path, base))
     if full.endswith(".parquet"):
         held = spark.read.parquet(full)
         return held.select("*", _place().alias(ORDINAL)) if ordinal else held

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import os
 import shutil
@@ -41,20 +42,29 @@ def _fetch(url: str) -> Path:
     return target
 
 
+def _videos(folder: Path) -> list[Path]:
+    return sorted(p for p in folder.iterdir() if p.is_file() and p.suffix.lower() in EXTENSIONS)
+
+
 def _fetch_platform(url: str) -> Path:
     folder = cache_path(url).parent
-    held = lambda: sorted(p for p in folder.glob("*") if p.suffix.lower() in EXTENSIONS)
-    if not (folder.is_dir() and held()):
+    if not folder.is_dir():
         try:
             import yt_dlp
         except ImportError as e:
             raise RuntimeError(f"yt-dlp is needed to download {url}") from e
-        folder.mkdir(parents=True, exist_ok=True)
-        with yt_dlp.YoutubeDL({"outtmpl": str(folder / "%(id)s.%(ext)s"), "format": "mp4/best", "quiet": True}) as loader:
-            loader.download([url])
-    if not held():
-        raise RuntimeError(f"no video came from {url}")
-    return held()[0]
+        folder.parent.mkdir(parents=True, exist_ok=True)
+        own = Path(tempfile.mkdtemp(dir=folder.parent))  # of two workers, the first to end gives the folder its name
+        try:
+            with yt_dlp.YoutubeDL({"outtmpl": str(own / "%(id)s.%(ext)s"), "format": "mp4/best", "quiet": True}) as loader:
+                loader.download([url])
+            if not _videos(own):
+                raise RuntimeError(f"no video came from {url}")
+            with contextlib.suppress(OSError):
+                own.rename(folder)
+        finally:
+            shutil.rmtree(own, ignore_errors=True)
+    return _videos(folder)[0]
 
 
 def local_path(path_or_url: str) -> Path:
@@ -139,5 +149,5 @@ class VideoView:
 def open_video(path_or_url: str) -> Video | list[Video]:
     """A video; for a folder, its videos in order of name."""
     if urlsplit(path_or_url).scheme in ("", "file") and (folder := local_path(path_or_url)).is_dir():
-        return [Video(p) for p in sorted(folder.iterdir()) if p.is_file() and p.suffix.lower() in EXTENSIONS]
+        return [Video(p) for p in _videos(folder)]
     return Video(local_path(path_or_url))
