@@ -7,13 +7,14 @@ package, so that it can be removed as a whole.
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir
+
 #: What the row-identity column is called inside the operators.
 ROW_KEY = "_w_row"
 #: Tables of this process in the shared folder.
@@ -34,16 +35,6 @@ def prepare(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([*paths, root])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder of the session; one of our own only where none is set."""
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get()
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    spark.sparkContext.setCheckpointDir(named or f"file://{tempfile.gettempdir()}/checkpoints")
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-
-
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet to the shared folder and read it again.
 
@@ -57,14 +48,53 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables that ``materialise`` wrote; results that still read them must be written before."""
+def written() -> int:
+    """How many tables ``materialise`` has written so far."""
+    return len(_WRITTEN)
+
+
+def release(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Delete the tables that ``materialise`` wrote after the first ``since``, but for the last ``keep``; results that still read them must be written before."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    while _WRITTEN:
-        path = hadoop.Path(_WRITTEN.pop())
+    gone = _WRITTEN[since : len(_WRITTEN) - keep]
+    del _WRITTEN[since : len(_WRITTEN) - keep]
+    for name in gone:
+        path = hadoop.Path(name)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Keys with more rows are told by broadcast, if they are among the 100,000 at most that can have a 100,000th of all rows.
+HOT = 200
+_HOT_KEYS = 100_000
+
+
+def left_join_spread(rows: DataFrame, told: DataFrame, keys: list[Column], n_rows: int, values: list[str]) -> DataFrame:
+    """``rows`` and, for each, the ``values`` that ``told`` has for its ``keys`` (null if it has none).
+
+    told: one row for each key, with _w_k0, _w_k1, ... (long, not null), _w_n
+    (how many rows have the key) and the values.  Keys with more than ``HOT``
+    rows, and more than a 100,000th of all, are broadcast (there are 100,000 of
+    them at most); their rows do not meet in the exchange by key.
+    """
+    named = [f"_w_k{i}" for i in range(len(keys))]
+    out = [f"_w_v{i}" for i in range(len(values))]
+    if n_rows <= HOT:
+        held = rows.withColumns({f"_w_q{i}": k for i, k in enumerate(keys)})
+        rest = told.select(*named, *[F.col(v).alias(o) for o, v in zip(out, values, strict=True)])
+        found = held.join(rest, [F.col(f"_w_q{i}") == F.col(n) for i, n in enumerate(named)], "left")
+        return found.select(*rows.columns, *[F.col(o).alias(v) for o, v in zip(out, values, strict=True)])
+    is_hot = F.col("_w_n") > max(HOT, n_rows // _HOT_KEYS)
+    of = lambda done, parts: F.struct(F.lit(done).alias("done"), *[c.alias(f"k{i}") for i, c in enumerate(parts)])
+    few = told.where(is_hot).select(of(False, map(F.col, named)).alias("_w_h"), *[F.col(v).alias(f"_w_h{i}") for i, v in enumerate(values)])
+    rest = told.where(~is_hot).select(of(False, map(F.col, named)).alias("_w_o"), *[F.col(v).alias(o) for o, v in zip(out, values, strict=True)])
+    held = rows.withColumn("_w_q", of(False, keys)).join(F.broadcast(few), F.col("_w_q") == F.col("_w_h"), "left")
+    # Rows that have been told go anywhere, and no key of the rest is like theirs.
+    anywhere = of(True, [F.xxhash64(*map(F.col, rows.columns), F.monotonically_increasing_id()), *[F.lit(0).cast("long")] * (len(keys) - 1)])
+    held = held.withColumn("_w_q", F.when(F.col("_w_h").isNull(), F.col("_w_q")).otherwise(anywhere))
+    found = held.join(rest, F.col("_w_q") == F.col("_w_o"), "left")
+    return found.select(*rows.columns, *[F.coalesce(f"_w_h{i}", o).alias(v) for i, (o, v) in enumerate(zip(out, values, strict=True))])
+
+
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     """64 bits that tell rows with the same doc_id but other texts apart; joined together with doc_id."""
     return F.xxhash64(F.col(doc_id), F.col(text))
