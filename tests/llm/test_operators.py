@@ -392,7 +392,7 @@ def test_links_of_clusters(spark, cell):
 
 def test_every_close_pair_shares_a_cell():
     draw = random.Random(1)
-    for bands in (5, 6, 7, 8):
+    for bands in (5, 6, 7, 8, 9, 10):
         masks = simhash._masks(bands, 3)
         for _ in range(200):
             a = draw.getrandbits(64)

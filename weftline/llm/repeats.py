@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, text_slices
+from .common import left_join_spread, materialise, partitions, text_slices
 
 #: Stands for a null doc_id: smaller than any other.
 NULL_DOC = -(1 << 63)
@@ -41,10 +41,12 @@ def spread(key: str = "key") -> Column:
 
 
 def copies(own: DataFrame) -> DataFrame:
-    """doc, text_hash, is_copy of the texts that a smaller doc_id has too."""
-    narrow = own.select("doc", "text_hash", F.xxhash64(F.lit(4), "text").alias("_w_h"), F.octet_length("text").alias("_w_n")).where("_w_n > 0")
-    least = narrow.groupBy("text_hash", "_w_h", "_w_n").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most")
-    return narrow.join(least, ["text_hash", "_w_h", "_w_n"]).where("doc > least").select("doc", "text_hash").distinct().withColumn("is_copy", F.lit(True))
+    """doc, text_hash, is_copy of the texts that a smaller doc_id has too; two hashes and the length tell texts apart."""
+    narrow = own.select("doc", "text_hash", F.xxhash64(F.lit(4), "text").alias("_w_h"), F.octet_length("text").cast("long").alias("_w_b")).where("_w_b > 0")
+    narrow = materialise(narrow, "text-hashes")
+    least = narrow.groupBy(F.col("text_hash").alias("_w_k0"), F.col("_w_h").alias("_w_k1"), F.col("_w_b").alias("_w_k2")).agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count("*").alias("_w_n")).where("least < most")
+    told = left_join_spread(narrow, materialise(least, "text-groups"), [F.col("text_hash"), F.col("_w_h"), F.col("_w_b")], narrow.count(), ["least"])
+    return told.where("doc > least").select("doc", "text_hash").distinct().withColumn("is_copy", F.lit(True))
 
 
 def shared_leaders(own: DataFrame, leaders_of: Callable[[list[bytes]], Iterable[np.ndarray]], crowd: int | None = None) -> DataFrame:

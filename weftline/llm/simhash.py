@@ -1,14 +1,14 @@
 """SimHash near-dedup by segment-popcount embedding.
 
-1. One pass makes the 64-bit fingerprints; equal ones collapse to one row with
-   the smallest doc_id, so groups of copies cost nothing afterwards.
+1. One pass makes the 64-bit fingerprints; equal ones collapse to one node, so groups of copies cost nothing afterwards.
 2. A fingerprint is mapped to the bit counts of its 32 two-bit segments.  The
    Manhattan distance of two such vectors is at most the Hamming distance of
    the fingerprints.  Cut into ``m`` bands, a pair within distance 3 has equal
    counts in at least ``m - 3`` bands: each choice of that many bands is a grid
    whose cells are joined by equality.  Inside a cell the total bit counts
-   bound the distance once more (a range of a sorted array), and the exact
-   distance decides.
+   bound the distance (a range of a sorted array), then the Manhattan distance
+   of the count vectors does, and the exact distance of the fingerprints that
+   are left decides.
 3. A cell emits a spanning forest of its links, at most one edge less than it
    has members, never all pairs.  A cell with more than ``CELL`` members is
    dealt into blocks, each pair of blocks to a task of its own.
@@ -18,9 +18,14 @@
 Grids get finer as the fingerprints get more (``bands_for``), so the expected
 number of chance meetings in a cell stays small.
 
+Nodes are fingerprints; rows with the same doc_id link theirs, so a doc_id is in
+one component.  Fingerprints, doc_ids and components that many rows share (a
+group of copies) are told to these rows by broadcast (``left_join_spread``).
+
 Defined cases: null, empty and blank texts have fingerprint zero and are linked
-like any other; rows with the same doc_id are one node; a component whose
-doc_ids are all null has a null id; an empty table gives no rows; other columns
+like any other; rows with the same doc_id are in one component, whatever their
+texts; rows without doc_id are linked by their fingerprints alone, and a
+component whose doc_ids are all null has a null id; an empty table gives no rows; other columns
 are ignored.
 """
 
@@ -34,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialise, partitions, text_slices
+from .common import documents, left_join_spread, materialise, partitions, text_slices
 
 WORDS = 3
 DISTANCE = 3
@@ -90,12 +95,28 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
+_ODD = np.uint64(0x5555555555555555)
+
+
+def embedded(prints: np.ndarray) -> np.ndarray:
+    """The counts of the 32 two-bit segments in unary, so that differing bits are the Manhattan distance of the count vectors."""
+    half = prints >> np.uint64(1)
+    return ((prints | half) & _ODD) | ((prints & half & _ODD) << np.uint64(1))
+
+
+def within(prints: np.ndarray, counts: np.ndarray, i: int, places: np.ndarray, distance: int) -> np.ndarray:
+    """The places whose fingerprint is within ``distance`` of place i: those that the Manhattan distance does not rule out, verified."""
+    places = places[np.bitwise_count(counts[places] ^ counts[i]) <= distance]
+    return places[np.bitwise_count(prints[places] ^ prints[i]) <= distance]
+
+
 def forest(prints: np.ndarray, distance: int = DISTANCE) -> list[tuple[int, int]]:
     """Edges (as places) of a spanning forest of the links among fingerprints.
 
     Each found member leaves the array of those not reached yet, so a dense
     cluster takes one pass over it for each of its members that reaches others.
     """
+    counts = embedded(prints)
     weight = np.bitwise_count(prints).astype(np.int16)
     order = np.argsort(weight, kind="stable")
     left, left_weight = order, weight[order]
@@ -106,12 +127,14 @@ def forest(prints: np.ndarray, distance: int = DISTANCE) -> list[tuple[int, int]
         while frontier and len(left):
             x = frontier.pop()
             lo, hi = np.searchsorted(left_weight, [weight[x] - distance, weight[x] + distance + 1])
-            near = np.flatnonzero(np.bitwise_count(prints[left[lo:hi]] ^ prints[x]) <= distance) + lo
+            near = within(prints, counts, x, left[lo:hi], distance)
             if len(near):
-                found = left[near].tolist()
+                found = near.tolist()
                 edges += [(x, y) for y in found]
                 frontier += found
-                left, left_weight = np.delete(left, near), np.delete(left_weight, near)
+                stay = np.ones(len(left), bool)
+                stay[lo:hi] = np.isin(left[lo:hi], near, assume_unique=True, invert=True)
+                left, left_weight = left[stay], left_weight[stay]
     return edges
 
 
@@ -127,7 +150,9 @@ def _link_cells(distance: int):
             new = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]) | (block[1:] != block[:-1])])
             size = np.diff(np.r_[new, stop])
             two = new[size == 2]
-            hit = two[np.bitwise_count(prints[two] ^ prints[two + 1]) <= distance]
+            counts = embedded(prints)
+            near = two[np.bitwise_count(counts[two] ^ counts[two + 1]) <= distance]
+            hit = near[np.bitwise_count(prints[near] ^ prints[near + 1]) <= distance]
             left, right = [node[hit]], [node[hit + 1]]
             for s, n in zip(new[size > 2], size[size > 2], strict=True):
                 if found := forest(prints[s : s + n], distance):
@@ -177,38 +202,53 @@ def link(nodes: DataFrame, n_nodes: int, distance: int = DISTANCE, cell: int = C
     return sorted_.mapInArrow(_link_cells(distance), "a long, b long").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """a, b: each node with edges but the smallest of its component, and that smallest.
 
     edges: a > b.  Alternates large-star and small-star (Kiveris et al. 2014)
-    until nothing changes.
+    until nothing changes; each round at least halves the longest path, so twice
+    the bits of the number of edges are more rounds than any graph needs.  Hubs
+    hear of their smallest neighbour by broadcast.
     """
     held = materialise(edges, "edges")
-    state = None
-    for _ in range(rounds):
+    state, n = None, held.count()
+    for _ in range(2 * max(1, n).bit_length() + 4):
         both = held.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(held.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(least, "a")
+        least = both.groupBy(F.col("u").alias("_w_k0")).agg(F.min("v").alias("m"), F.count("*").alias("_w_n"))
+        told = left_join_spread(both.where("v > u"), least, [F.col("u")], 2 * n, ["m"])
+        large = told.select(F.col("v").alias("a"), F.least("u", "m").alias("b")).distinct()
+        least = large.groupBy(F.col("a").alias("_w_k0")).agg(F.min("b").alias("m"), F.count("*").alias("_w_n"))
+        joined = left_join_spread(large, least, [F.col("a")], n, ["m"])
         small = joined.select(F.col("a"), F.col("m").alias("b")).unionByName(joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
         held = materialise(small, "edges")
-        now = held.agg(F.count("*"), F.expr("sum(cast(xxhash64(a, b) as decimal(38, 0)))"), F.sum("b")).first()
+        now = held.agg(F.count("*").alias("n"), F.expr("sum(cast(xxhash64(a, b) as decimal(38, 0)))"), F.sum(F.col("b").cast("decimal(38, 0)"))).first()
         if now == state:
             return held
-        state = now
+        state, n = now, now["n"]
     raise RuntimeError("components did not settle")
 
 
+def _links_of_ids(prints: DataFrame, n: int) -> DataFrame:
+    """Edges (a, b) that join the fingerprints of rows with the same doc_id."""
+    several = prints.where("doc_id is not null").groupBy(F.col("doc_id").alias("_w_k0")).agg(F.min("print").alias("_w_least"), F.max("print").alias("_w_most"), F.count("*").alias("_w_n")).where("_w_least < _w_most")
+    told = left_join_spread(prints.where("doc_id is not null"), several, [F.col("doc_id")], n, ["_w_least"])
+    return told.where("print > _w_least").select(F.col("print").alias("a"), F.col("_w_least").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
     """doc_id, print (signed long), component_id: one row per row of ``docs``."""
     texts = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     prints = materialise(texts.mapInArrow(_fingerprints(words), "doc_id long, print long"), "simhash-prints")
-    nodes = materialise(prints.groupBy("print").agg(F.min("doc_id").alias("node")), "simhash-nodes")
-    edges = link(nodes.where("node is not null"), nodes.count(), distance)
-    roots = components(edges).select(F.col("a").alias("_w_a"), F.col("b").alias("_w_b"))
-    labels = nodes.join(roots, nodes["node"] == roots["_w_a"], "left").select(F.col("print").alias("_w_print"), F.coalesce("_w_b", "node").alias("component_id"))
-    return prints.join(labels, prints["print"] == labels["_w_print"]).select("doc_id", "print", "component_id")
+    n = prints.count()
+    nodes = materialise(prints.groupBy("print").agg(F.min("doc_id").alias("least"), F.count("*").alias("_w_n")), "simhash-nodes")
+    edges = link(nodes.select("print", F.col("print").alias("node")), nodes.count(), distance).unionByName(_links_of_ids(prints, n))
+    roots = components(edges.distinct())
+    members = roots.unionByName(roots.select(F.col("b").alias("a"), "b").distinct()).select(F.col("a").alias("_w_a"), F.col("b").alias("root"))
+    members = nodes.join(members, F.col("print") == F.col("_w_a")).select("print", "least", "root")
+    of_root = members.groupBy(F.col("root").alias("_w_k0")).agg(F.min("least").alias("component_id"), F.count("*").alias("_w_n"))
+    linked = left_join_spread(members, of_root, [F.col("root")], n, ["component_id"]).select(F.col("print").alias("_w_p"), F.col("component_id").alias("_w_c"))
+    labels = nodes.join(linked, F.col("print") == F.col("_w_p"), "left").select(F.col("print").alias("_w_k0"), "_w_n", F.coalesce("_w_c", "least").alias("component_id"))
+    return left_join_spread(prints, labels, [F.col("print")], n, ["component_id"]).select("doc_id", "print", "component_id")
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
