@@ -12,9 +12,11 @@ roots are equal.  ``locate_edits`` compares two trees from the root down and
 opens differing branches only.
 
 The edited text of the query needs the next document.  Rows are dealt by cut
-points of doc_id (a few per partition, found on the id column alone); the first
-row of each range is copied to the range before it, so the texts are shuffled
-once, sorted and streamed in constant memory.
+points of (doc_id, text hash), the first rows of the partitions of a range
+exchange of these two; the first row of each range is copied to the range
+before it, so the texts are shuffled once, sorted and streamed in constant
+memory.  Rows with one doc_id spread over as many parts as their texts need;
+rows that are alike in both leave a batch as one.
 
 Defined cases: a null text is empty; the empty text has a root and no leaf; two
 empty texts have likeness 1; equal doc_ids follow each other by text hash; a
@@ -24,6 +26,7 @@ no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import zlib
 from collections import Counter
@@ -31,8 +34,8 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -138,59 +141,96 @@ def locate_edits(a: Node, b: Node) -> list[tuple[int, int, int, int]]:
     return [(*span(a, x, left), *span(b, y, right))]
 
 
+_AT = pa.schema([("part", pa.int32()), ("copy", pa.int32()), ("doc_id", pa.int64()), ("row", pa.int64()), ("text", pa.string()), ("times", pa.int64())])
+
+
+def _place_rows(cuts: list[tuple[bool, int, int]]):
+    """(doc_id, row, text) -> (part, copy, doc_id, row, text, times): rows of a batch that are alike become one.
+
+    cuts: the first row of each part, as (has an id, doc_id, row).  The first
+    rows of a part are copied to the end of the part before it, those of the
+    first part to the end of the last.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names = [(d is not None, d or 0, r) for d, r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            first: dict[tuple[bool, int, int], int] = {}
+            for i, name in enumerate(names):
+                first.setdefault(name, i)
+            times = Counter(names)
+            part, copy, row, n = [], [], [], []
+            for name, i in first.items():
+                at = max(0, bisect.bisect_right(cuts, name) - 1)
+                part.append(at)
+                copy.append(0)
+                row.append(i)
+                n.append(times[name])
+                if cuts[at] == name:
+                    part.append(at - 1 if at else len(cuts) - 1)
+                    copy.append(1)
+                    row.append(i)
+                    n.append(1)
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(b.column(2)), 0).to_numpy(zero_copy_only=False).astype(np.int64)[row] + 32)
+            at = 0
+            while at < len(row):  # copies may hold long texts, so that they go in batches of some MB as well
+                stop = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + (16 << 20), "right")))
+                where = pa.array(row[at:stop])
+                yield pa.RecordBatch.from_arrays([pa.array(part[at:stop], pa.int32()), pa.array(copy[at:stop], pa.int32()), b.column(0).take(where), b.column(1).take(where), b.column(2).take(where).cast(pa.string()), pa.array(n[at:stop], pa.int64())], schema=_AT)
+                at = stop
+
+    return run
+
+
 def _with_next(docs: DataFrame) -> DataFrame:
-    """_w_part, _w_copy, doc_id, text, sorted: in each part every row but the copies is followed by the next document."""
-    spark = docs.sparkSession
+    """part, copy, doc_id, text, times, sorted: in each part every row but the copies is followed by the next document."""
     own = keyed(docs)
-    n = partitions(spark)
-    share = [k / (4 * n) for k in range(1, 4 * n)]
-    ids = own.select("doc_id").agg(F.percentile_approx("doc_id", share, max(10_000, 40 * n)).alias("cuts"), F.min("doc_id").alias("first"), F.max(F.col("doc_id").isNull()).alias("nulls")).first()
-    cuts = np.asarray(sorted(set(ids["cuts"] or ())), np.int64)
-    first, nulls = ids["first"], bool(ids["nulls"])
-
-    @F.pandas_udf("part int, begins boolean, first boolean")
-    def place(doc_id: pd.Series) -> pd.DataFrame:
-        null = doc_id.isna().to_numpy()
-        number = doc_id.fillna(0).astype("int64").to_numpy()
-        part = np.where(null, 0, np.searchsorted(cuts, number, "right"))
-        begins = ~null & (part > 0) & (cuts[np.maximum(part - 1, 0)] == number) if len(cuts) else np.zeros(len(number), bool)
-        is_first = null if nulls else ~null & (number == (first if first is not None else 0))
-        return pd.DataFrame({"part": part.astype("int32"), "begins": begins, "first": is_first})
-
-    at = lambda part, copy: F.struct(part.alias("part"), F.lit(copy).alias("copy"))
-    places = F.array_compact(
-        F.array(
-            at(F.col("_w_at.part"), 0),
-            F.when(F.col("_w_at.begins"), at(F.col("_w_at.part") - 1, 1)),
-            F.when(F.col("_w_at.first"), at(F.lit(len(cuts)), 2)),
-        )
-    )
-    dealt = own.withColumn("_w_at", place("doc_id")).select("doc_id", "text", ROW_KEY, F.explode(places).alias("_w_to"))
-    dealt = dealt.select(F.col("_w_to.part").alias("_w_part"), F.col("_w_to.copy").alias("_w_copy"), "doc_id", "text", ROW_KEY)
-    return dealt.repartition(n, "_w_part").sortWithinPartitions("_w_part", "_w_copy", "doc_id", ROW_KEY)
+    n = partitions(docs.sparkSession)
+    keys = ["doc_id", ROW_KEY]
+    # Cut points: the first row of each partition of the narrow rows in order.
+    ranged = own.select(*keys).repartitionByRange(n, *keys)
+    least = ranged.groupBy(F.spark_partition_id()).agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("has"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), ROW_KEY)).alias("first"))
+    cuts = sorted({(r["first"]["has"], r["first"]["doc_id"], r["first"][ROW_KEY]) for r in least.collect()})  # one row for each partition
+    placed = own.select("doc_id", ROW_KEY, "text").mapInArrow(_place_rows(cuts or [(False, 0, 0)]), "part int, copy int, doc_id long, row long, text string, times long")
+    return placed.repartitionById(n, "part").sortWithinPartitions("part", "copy", "doc_id", "row").select("part", "copy", "doc_id", "text", "times")
 
 
 _NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
 
+def _compared(doc: int | None, old: str, print_: str, new: str, next_print: str) -> tuple:
+    half = len(old) // 2
+    edited = old[: len(old) - half] + new[:half]
+    of_edited = fingerprint(edited)
+    return doc, len(old), hashlib.sha256(edited.encode()).hexdigest(), print_, of_edited, likeness(print_, of_edited), likeness(print_, next_print)
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows (part, copy, doc_id, text, times): each one with the next, and rows that stand for several with themselves as often as that."""
     before = None
+
+    def batch(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k < 2 else None) for k, c in enumerate(zip(*out, strict=True))], names=_NAMES)
+
     for b in batches:
-        parts, copies, ids = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()
+        parts, copies, ids, times = (b.column(i).to_pylist() for i in (0, 1, 2, 4))
         for start, texts in text_slices(b, 3):
             out: list[tuple] = []
             for i, text in enumerate(texts, start):
                 text = text or ""
                 now = (parts[i], copies[i], ids[i], text, fingerprint(text))
                 if before is not None and before[0] == now[0] and not before[1]:
-                    _, _, doc, old, print_ = before
-                    half = len(old) // 2
-                    edited = old[: len(old) - half] + text[:half]
-                    of_edited = fingerprint(edited)
-                    out.append((doc, len(old), hashlib.sha256(edited.encode()).hexdigest(), print_, of_edited, likeness(print_, of_edited), likeness(print_, now[4])))
+                    out.append(_compared(*before[2:], *now[3:]))
+                if not copies[i] and times[i] > 1:
+                    same = _compared(*now[2:], *now[3:])
+                    out.append(same)
+                    for at in range(1, times[i] - 1, 1000):
+                        if out:
+                            yield batch(out)
+                        out = [same] * min(1000, times[i] - 1 - at)
                 before = now
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k < 2 else None) for k, c in enumerate(zip(*out, strict=True))], names=_NAMES)
+                yield batch(out)
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
@@ -206,7 +246,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
 
 def compare_with_edits(docs: DataFrame) -> DataFrame:
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return _with_next(docs).select("_w_part", "_w_copy", "doc_id", "text").mapInArrow(_compare, schema)
+    return _with_next(docs).mapInArrow(_compare, schema)
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
