@@ -4,7 +4,8 @@ A window's hash is a difference of prefix sums: with ``P[i] = sum(x[j] * B**j
 for j < i)`` modulo 2**64, ``(P[e] - P[s]) * B**-s`` depends on the content of
 ``x[s:e]`` alone (B is odd, so it has an inverse).  The symbols are random
 64-bit numbers and the result is mixed, so sums modulo a power of two do no
-harm.
+harm.  Where equality decides what is removed, a second hash with another base
+stands beside the first: 128 bits.
 """
 
 from __future__ import annotations
@@ -14,8 +15,9 @@ from functools import lru_cache
 import numpy as np
 
 U = np.uint64
-_B = 0x9E3779B97F4A7C15
-_INVERSE = pow(_B, -1, 1 << 64)
+#: Two odd bases and their inverses.
+_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+_INVERSES = tuple(pow(b, -1, 1 << 64) for b in _BASES)
 #: One random number for each byte.
 _BYTE = np.random.default_rng(20).integers(0, 1 << 64, 256, dtype=U)
 SPACE = np.zeros(256, bool)
@@ -24,16 +26,16 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 AT_ONCE = 1 << 20
 
 
-@lru_cache(maxsize=8)
-def _powers(bits: int, inverse: bool) -> np.ndarray:
-    steps = np.full(1 << bits, _INVERSE if inverse else _B, U)
+@lru_cache(maxsize=16)
+def _powers(bits: int, inverse: bool, which: int) -> np.ndarray:
+    steps = np.full(1 << bits, (_INVERSES if inverse else _BASES)[which], U)
     steps[0] = 1
     return np.multiply.accumulate(steps)
 
 
-def powers(n: int, inverse: bool = False) -> np.ndarray:
+def powers(n: int, inverse: bool = False, which: int = 0) -> np.ndarray:
     """B**0 ... B**(n - 1), or of the inverse."""
-    return _powers(max(10, (n - 1).bit_length() if n > 1 else 1), inverse)[:n]
+    return _powers(max(10, (n - 1).bit_length() if n > 1 else 1), inverse, which)[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -42,9 +44,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def prefix(symbols: np.ndarray) -> np.ndarray:
+def prefix(symbols: np.ndarray, which: int = 0) -> np.ndarray:
     out = np.zeros(len(symbols) + 1, U)
-    np.cumsum(symbols * powers(len(symbols)), out=out[1:])
+    np.cumsum(symbols * powers(len(symbols), which=which), out=out[1:])
     return out
 
 
@@ -53,13 +55,15 @@ def spans(sums: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     return mix((sums[stop] - sums[start]) * powers(len(sums), inverse=True)[start])
 
 
-def windows(symbols: np.ndarray, length: int) -> np.ndarray:
-    """Hash of each window of ``length`` symbols."""
+def windows(symbols: np.ndarray, length: int, which: int = 0) -> np.ndarray:
+    """Hash of each window of ``length`` symbols; ``which``: the first or the second hash."""
     n = len(symbols) - length + 1
     if n <= 0:
         return np.zeros(0, U)
-    sums = prefix(symbols)
-    return mix((sums[length:] - sums[:n]) * powers(n, inverse=True))
+    if which:
+        symbols = mix(symbols ^ U(0xA5A5A5A5A5A5A5A5))
+    sums = prefix(symbols, which)
+    return mix((sums[length:] - sums[:n]) * powers(n, inverse=True, which=which))
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:

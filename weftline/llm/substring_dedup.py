@@ -7,8 +7,9 @@ leader occurs in one text only cannot repeat.  So:
 
 1. Leaders (about one for every 18 words) are exchanged by hash; those found in
    two different texts come back to their documents.
-2. Window hashes under such leaders are exchanged and compared: the smallest
-   doc_id keeps a window, every other document loses it.
+2. Window hashes under such leaders (two of 64 bits) are exchanged and compared:
+   the smallest doc_id keeps a window, every other document loses it.  A window
+   that one text holds at many places is sent once.
 3. The lost windows of a document merge into maximal intervals of words.
 
 Copies of a whole text are found by its hash; all but those with the smallest
@@ -52,11 +53,16 @@ def leaders(words: np.ndarray, window: int, core: int) -> np.ndarray:
     return sliding_min(windows(words, core), window - core + 1)
 
 
-_OPEN = "key long, doc long, text_hash long, at int, settled boolean"
+_OPEN = "key long, key2 long, doc long, text_hash long, at array<int>, settled boolean"
+_OPEN_NAMES = ["key", "key2", "doc", "text_hash", "at", "settled"]
 
 
 def _send_windows(window: int, core: int):
-    """(doc, text, row, leaders, is_copy) -> hashes of windows under shared leaders; settled: an earlier document of this task has it."""
+    """(doc, text, row, leaders, is_copy) -> hashes of windows under shared leaders; settled: an earlier document of this task has it.
+
+    A window that a text holds at many places goes once, with all its places:
+    they are lost together or stay together.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -66,14 +72,17 @@ def _send_windows(window: int, core: int):
             nonlocal size
             if not held:
                 return
-            key, doc, row, at = (np.concatenate(c) for c in zip(*held, strict=True))
+            key, key2, doc, row, at = (np.concatenate(c) for c in zip(*held, strict=True))
             held.clear()
             size = 0
-            order = np.lexsort((at, doc, key))
-            key, doc, row, at = key[order], doc[order], row[order], at[order]
-            new = np.flatnonzero(first_of(key))
+            order = np.lexsort((at, row, doc, key2, key))
+            key, key2, doc, row, at = key[order], key2[order], doc[order], row[order], at[order]
+            same = np.flatnonzero(first_of(key, key2, doc, row))
+            places = pa.ListArray.from_arrays(pa.array(np.r_[same, len(key)], pa.int32()), pa.array(at))
+            key, key2, doc, row = key[same], key2[same], doc[same], row[same]
+            new = np.flatnonzero(first_of(key, key2))
             first = np.repeat(doc[new], np.diff(np.r_[new, len(key)]))
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(row), pa.array(at), pa.array(doc > first)], names=["key", "doc", "text_hash", "at", "settled"])
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(key2), pa.array(doc), pa.array(row), places, pa.array(doc > first)], names=_OPEN_NAMES)
 
         for b in batches:
             docs, rows = b.column(0).to_numpy(), b.column(2).to_numpy()
@@ -85,34 +94,36 @@ def _send_windows(window: int, core: int):
                     at = np.flatnonzero(np.isin(lead, b.column(3)[i].values.to_numpy().view(np.uint64)))
                     if len(at):
                         n = len(at)
-                        held.append((windows(words, window)[at].view(np.int64), np.full(n, docs[i]), np.full(n, rows[i]), at.astype(np.int32)))
+                        both = (windows(words, window, which)[at].view(np.int64) for which in (0, 1))
+                        held.append((*both, np.full(n, docs[i]), np.full(n, rows[i]), at.astype(np.int32)))
                         size += n
-                if size >= PORTION:
-                    yield from flush()
+                    if size >= PORTION:
+                        yield from flush()
         yield from flush()
 
     return run
 
 
 def _later_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted by (settled, key, doc): the windows that a smaller document has, and the settled ones."""
-    key, least = None, 0
+    """Sorted by (settled, key, key2, doc): the windows that a smaller document has, and the settled ones."""
+    key, least = (None, None), 0
     for b in batches:
-        keys, docs = b.column(0).to_numpy(), b.column(1).to_numpy()
-        settled = b.column(4).to_numpy(zero_copy_only=False)
+        keys, keys2, docs = (b.column(i).to_numpy() for i in (0, 1, 2))
+        settled = b.column(5).to_numpy(zero_copy_only=False)
         n = len(keys)
         if not n:
             continue
-        new = np.flatnonzero(np.r_[keys[0] != key, keys[1:] != keys[:-1]])
-        bounds = np.r_[0, new] if not len(new) or new[0] else new
+        new = first_of(keys, keys2)
+        new[0] = (keys[0], keys2[0]) != key
+        bounds = np.flatnonzero(np.r_[True, new[1:]])
         firsts = docs[bounds]
-        if not len(new) or new[0]:
-            firsts = np.r_[least, firsts[1:]]
+        if not new[0]:
+            firsts[0] = least
         first = np.repeat(firsts, np.diff(np.r_[bounds, n]))
         lost = np.flatnonzero((docs > first) | settled)
         if len(lost):
-            yield pa.RecordBatch.from_arrays([b.column(i).take(pa.array(lost)) for i in (1, 2, 3)], names=["doc", "text_hash", "at"])
-        key, least = keys[-1], first[-1]
+            yield pa.RecordBatch.from_arrays([b.column(i).take(pa.array(lost)) for i in (2, 3, 4)], names=_OPEN_NAMES[2:5])
+        key, least = (keys[-1], keys2[-1]), first[-1]
 
 
 def _lost(docs: DataFrame, window: int, core: int) -> DataFrame:
@@ -130,8 +141,8 @@ def _lost(docs: DataFrame, window: int, core: int) -> DataFrame:
     hints = shared_leaders(own, leaders_of).join(copied, same, "full")
     texts = own.repartition(n, *same)
     sent = texts.join(hints, same, "left").select("doc", "text", "text_hash", "leaders", "is_copy").mapInArrow(_send_windows(window, core), _OPEN)
-    later = sent.repartition(n, spread()).sortWithinPartitions("settled", "key", "doc").mapInArrow(_later_windows, "doc long, text_hash long, at int")
-    starts = later.groupBy(*same).agg(F.collect_list("at").alias("starts"))
+    later = sent.repartition(n, spread()).sortWithinPartitions("settled", "key", "key2", "doc").mapInArrow(_later_windows, "doc long, text_hash long, at array<int>")
+    starts = later.groupBy(*same).agg(F.flatten(F.collect_list("at")).alias("starts"))
     return texts.join(starts, same, "left").join(copied, same, "left").select(doc_id(), "text", "starts", "is_copy")
 
 

@@ -19,15 +19,16 @@ prefixes, over the suffixes that can matter:
    comes out is the sorted order with its common-prefix lengths.
 4. *Windows.*  For each offset from the leader, suffixes whose common prefix
    covers the right part of the window form a run of that order; within it,
-   equal left parts make equal windows, and all but the first by (doc_id,
-   start) are lost.  This is linear in the windows of a group and never looks
+   equal left parts (by two hashes, and by their bytes where these disagree)
+   make equal windows, and all but the first by (doc_id, start) are lost.  This is linear in the windows of a group and never looks
    at pairs.
 5. Lost windows of a document merge into maximal spans.
 
 A core that more than ``CROWD`` texts have (the edge of a very common passage
 gives one suffix for each document) would put them all into one merge.  The
-windows under such cores are exchanged by their own content instead, after
-each task has settled those that it has twice.
+windows under such cores are exchanged by their own content (128 bits of hash)
+instead, after each task has settled those that it has twice.  So a part, of
+which a task holds one at a time, has no core with more suffixes than that.
 
 Copies of a whole text are found by its hash and lose all bytes at once.
 Texts are exchanged once, by document; both joins read that exchange.
@@ -42,8 +43,9 @@ table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import io
+import struct
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -51,15 +53,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, partitions, text_slices
-from .repeats import PORTION, copies, doc_id, first_of, shared_leaders, spread, with_identity
+from .repeats import PORTION, copies, doc_id, first_of, shared_leaders, with_identity
 from .rolling import U, byte_symbols, powers, sliding_min, windows
 
 LENGTH = 100
 CORE = 32
 #: Suffixes in a run, and in how many parts (times the shuffle partitions) runs are cut.
 RUN = 150_000
-PARTS = 2
-CROWD = 100_000
+PARTS = 8
+CROWD = 20_000
 _PLACE = U((1 << 31) - 1)
 
 
@@ -160,52 +162,69 @@ def common_prefix(a: bytes, b: bytes) -> int:
     return lo
 
 
-_BLOCK = pa.schema([("shared", pa.uint32()), ("rest", pa.binary()), ("left", pa.binary()), ("doc", pa.int64()), ("text_hash", pa.int64()), ("place", pa.int64())])
-
-
 def _encode(run: list[tuple]) -> bytes:
-    """A sorted run of (suffix, left, doc, place, text_hash), front-coded."""
-    before, rows = b"", []
-    for suffix, left, doc, place, text in run:
+    """A sorted run of (suffix, left, doc, place, text_hash), front-coded: numbers first, then the strings end to end."""
+    before, shared, rests = b"", [], []
+    suffixes, lefts, doc, place, text = zip(*run, strict=True)
+    for suffix in suffixes:
         same = common_prefix(before, suffix)
-        rows.append((same, suffix[same:], left, doc, text, place))
+        shared.append(same)
+        rests.append(suffix[same:])
         before = suffix
-    batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _BLOCK, strict=True)], schema=_BLOCK)
-    sink = io.BytesIO()
-    with pa.ipc.new_stream(sink, _BLOCK, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_batch(batch)
-    return sink.getvalue()
-
-
-def _decode(block: bytes) -> tuple[list[bytes], list[int], pa.RecordBatch]:
-    batch = pa.ipc.open_stream(block).read_next_batch()
-    shared = batch.column(0).to_pylist()
-    suffixes, before = [], b""
-    for same, rest in zip(shared, batch.column(1).to_pylist(), strict=True):
-        before = before[:same] + rest
+    numbers = [np.array(x, "<u4").tobytes() for x in (shared, [len(r) for r in rests], [len(x) for x in lefts])]
+    numbers += [np.array(x, "<i8").tobytes() for x in (doc, text, place)]
+    raw = b"".join([*numbers, *rests, *lefts])
+    return struct.pack("<II", len(run), len(raw)) + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+class Run(NamedTuple):
+    """A decoded block."""
+
+    suffixes: list[bytes]
+    shared: list[int]
+    lefts: list[bytes]
+    doc: np.ndarray
+    text: np.ndarray
+    place: np.ndarray
+
+
+def _decode(block: bytes) -> Run:
+    n, size = struct.unpack_from("<II", block)
+    raw = pa.decompress(block[8:], size, codec="zstd", asbytes=True)
+    shared, rest, left = (np.frombuffer(raw, "<u4", n, 4 * n * i).tolist() for i in range(3))
+    doc, text, place = (np.frombuffer(raw, "<i8", n, 12 * n + 8 * n * i) for i in range(3))
+    at, suffixes, before = 36 * n, [], b""
+    for same, more in zip(shared, rest, strict=True):
+        before = before[:same] + raw[at : at + more]
         suffixes.append(before)
-    return suffixes, shared, batch
+        at += more
+    lefts = []
+    for more in left:
+        lefts.append(raw[at : at + more])
+        at += more
+    return Run(suffixes, shared, lefts, doc, text, place)
 
 
-_SENT = "part long, block binary, doc long, text_hash long, start long, stop long, settled boolean"
-_NAMES = ["part", "block", "doc", "text_hash", "start", "stop", "settled"]
+#: A block has a part; a window stands for itself by two hashes, of which the first is in the place of the part.
+_SENT = "part long, key2 long, block binary, doc long, text_hash long, start long, stop long, settled boolean"
+_NAMES = ["part", "key2", "block", "doc", "text_hash", "start", "stop", "settled"]
 
 
-def _sent(part, block, doc, text, start, stop, settled: bool) -> pa.RecordBatch:
+def _sent(part, key2, block, doc, text, start, stop, settled: bool) -> pa.RecordBatch:
     n = len(part)
-    columns = [pa.array(x, pa.int64()) if x is not None else pa.nulls(n, pa.int64()) for x in (part, doc, text, start, stop)]
+    columns = [pa.array(x, pa.int64()) if x is not None else pa.nulls(n, pa.int64()) for x in (part, key2, doc, text, start, stop)]
     blocks = pa.array(block, pa.binary()) if block is not None else pa.nulls(n, pa.binary())
-    return pa.RecordBatch.from_arrays([columns[0], blocks, *columns[1:], pa.array(np.full(n, settled))], names=_NAMES)
+    return pa.RecordBatch.from_arrays([*columns[:2], blocks, *columns[2:], pa.array(np.full(n, settled))], names=_NAMES)
 
 
-def _settle_windows(key: np.ndarray, doc: np.ndarray, text: np.ndarray, start: np.ndarray, length: int) -> Iterator[pa.RecordBatch]:
+def _settle_windows(key: np.ndarray, key2: np.ndarray, doc: np.ndarray, text: np.ndarray, start: np.ndarray, length: int) -> Iterator[pa.RecordBatch]:
     """The first of each window goes on, the others are lost here; neighbours of one document as one span."""
-    by = np.lexsort((start, doc, key))
-    key, doc, text, start = key[by], doc[by], text[by], start[by]
-    new = first_of(key)
+    by = np.lexsort((start, doc, key2, key))
+    key, key2, doc, text, start = key[by], key2[by], doc[by], text[by], start[by]
+    new = first_of(key, key2)
     at = np.flatnonzero(new)[np.cumsum(new) - 1]
     lost = (doc != doc[at]) | (start != start[at])
-    yield _sent(key[new], None, doc[new], text[new], start[new], start[new] + length, False)
+    yield _sent(key[new], key2[new], None, doc[new], text[new], start[new], start[new] + length, False)
     doc, text, start = doc[lost], text[lost], start[lost]
     by = np.lexsort((start, text, doc))
     doc, text, start = doc[by], text[by], start[by]
@@ -214,7 +233,7 @@ def _settle_windows(key: np.ndarray, doc: np.ndarray, text: np.ndarray, start: n
         new[1:] |= start[1:] > start[:-1] + 1
         first = np.flatnonzero(new)
         last = np.r_[first[1:], len(doc)] - 1
-        yield _sent(np.zeros(len(first), np.int64), None, doc[first], text[first], start[first], start[last] + length, True)
+        yield _sent(np.zeros(len(first), np.int64), None, None, doc[first], text[first], start[first], start[last] + length, True)
 
 
 def _send_runs(length: int, core: int, parts: int):
@@ -242,9 +261,10 @@ def _send_runs(length: int, core: int, parts: int):
                 blocks.append((before[0], _encode(run_)))
             held.clear()
             if settled:
-                yield _sent([0] * len(settled), None, *zip(*settled, strict=True), True)
+                yield _sent([0] * len(settled), None, None, *zip(*settled, strict=True), True)
             for at in range(0, len(blocks), 64):
-                yield _sent(*zip(*blocks[at : at + 64], strict=True), None, None, None, None, False)
+                part, block = zip(*blocks[at : at + 64], strict=True)
+                yield _sent(part, None, block, None, None, None, None, False)
 
         def flush_crowd() -> Iterator[pa.RecordBatch]:
             nonlocal size
@@ -267,7 +287,7 @@ def _send_runs(length: int, core: int, parts: int):
                         full = np.isin(key, many)
                         wanted &= ~full
                         at = np.concatenate([np.zeros(0, np.int64), *(np.arange(p, to + 1) for p, to in zip(first[full].tolist(), last[full].tolist(), strict=True))])
-                        crowd.append((windows(byte_symbols(raw), length)[at].view(np.int64), np.full(len(at), docs[i]), np.full(len(at), hashes[i]), at))
+                        crowd.append((*(windows(byte_symbols(raw), length, which)[at].view(np.int64) for which in (0, 1)), np.full(len(at), docs[i]), np.full(len(at), hashes[i]), at))
                         size += len(at)
                     part = (key[wanted] % U(parts)).tolist()
                     for k, q, p, to in zip(part, place[wanted].tolist(), first[wanted].tolist(), last[wanted].tolist(), strict=True):
@@ -293,15 +313,17 @@ def lost_spans(order: list[tuple[bytes, bytes]], shared: np.ndarray, rank: np.nd
     right = np.fromiter((len(s) for s, _ in order), np.int64, n)
     left = np.fromiter((len(x) for _, x in order), np.int64, n)
     widest = int(left.max()) if n else 0
-    # Hash of the o bytes before the leader, for each o.
+    # Two hashes of the o bytes before the leader, for each o.
     flat = np.frombuffer(b"".join(x[::-1].ljust(widest, b"\0") for _, x in order), np.uint8).reshape(n, widest) if widest else np.zeros((n, 0), np.uint8)
     by_rank = np.argsort(rank, kind="stable")
     found = np.tile(np.array([1 << 30, -(1 << 30)]), (n, 1))
-    sums = np.zeros(n, U)
-    scale = powers(widest + 1)
+    sums, sums2 = np.zeros(n, U), np.zeros(n, U)
+    scale, scale2 = powers(widest + 1), powers(widest + 1, which=1)
     for o in range(widest + 1):
         if o:
-            sums = sums + (flat[:, o - 1].astype(U) + U(1)) * scale[o] * U(0xD6E8FEB86659FD93)
+            byte = flat[:, o - 1].astype(U) + U(1)
+            sums = sums + byte * (scale[o] * U(0xD6E8FEB86659FD93))
+            sums2 = sums2 + byte * (scale2[o] * U(0xA0761D6478BD642F))
         needed = length - o
         group = np.cumsum(shared < needed).astype(U)
         able = (left >= o) & (right >= needed)
@@ -310,7 +332,14 @@ def lost_spans(order: list[tuple[bytes, bytes]], shared: np.ndarray, rank: np.nd
             continue
         key = (group[some] * U(0x9E3779B97F4A7C15)) ^ sums[some]
         _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-        lost = some[rank[some] > rank[some[first]][inverse]]
+        leading = some[first][inverse]
+        if ((group[some] != group[leading]) | (sums2[some] != sums2[leading])).any():
+            # Different windows with one key: tell them apart by their bytes.
+            numbers: dict[tuple[int, bytes], int] = {}
+            exact = [numbers.setdefault((int(group[i]), order[i][1][len(order[i][1]) - o :]), len(numbers)) for i in some.tolist()]
+            _, first, inverse = np.unique(exact, return_index=True, return_inverse=True)
+            leading = some[first][inverse]
+        lost = some[rank[some] > rank[leading]]
         found[lost, 0] = np.minimum(found[lost, 0], -o)
         found[lost, 1] = np.maximum(found[lost, 1], -o)
     return found
@@ -318,19 +347,18 @@ def lost_spans(order: list[tuple[bytes, bytes]], shared: np.ndarray, rank: np.nd
 
 def _merge_part(blocks: list[bytes], length: int) -> pa.RecordBatch | None:
     runs = [_decode(b) for b in blocks]
-    tree = LoserTree([(s, c) for s, c, _ in runs])
-    lefts = [b.column(2).to_pylist() for *_, b in runs]
-    base = np.cumsum([0, *(len(s) for s, *_ in runs)])
+    tree = LoserTree([(r.suffixes, r.shared) for r in runs])
+    base = np.cumsum([0, *(len(r.suffixes) for r in runs)])
     order, shared, source = [], [], []
     at = [0] * len(runs)
     while (taken := tree.take()) is not None:
         r, same = taken
         k = at[r]
         at[r] = k + 1
-        order.append((runs[r][0][k], lefts[r][k]))
+        order.append((runs[r].suffixes[k], runs[r].lefts[k]))
         shared.append(same)
         source.append(base[r] + k)
-    doc, text, place = (np.concatenate([b.column(i).to_numpy() for *_, b in runs])[source] for i in (3, 4, 5))
+    doc, text, place = (np.concatenate([getattr(r, c) for r in runs])[source] for c in ("doc", "text", "place"))
     by = np.lexsort((place, doc))
     rank = np.empty(len(by), np.int64)
     rank[by] = np.cumsum(np.r_[False, (doc[by][1:] != doc[by][:-1]) | (place[by][1:] != place[by][:-1])])
@@ -344,28 +372,28 @@ def _merge_part(blocks: list[bytes], length: int) -> pa.RecordBatch | None:
 
 
 def _merge_runs(length: int):
-    """Rows sorted by part, doc, start -> lost spans."""
+    """Rows sorted by part, key2, doc, start -> lost spans.  Of the blocks, those of one part are held at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, blocks = None, []
-        window: tuple[int, int, int] | None = None  # the open window's hash, and where it is first
+        window: tuple[int, int, int, int] | None = None  # the open window's hashes, and where it is first
         for b in batches:
-            settled, coded = b.column(6).to_numpy(zero_copy_only=False), b.column(1).is_valid().to_numpy(zero_copy_only=False)
+            settled, coded = b.column(7).to_numpy(zero_copy_only=False), b.column(2).is_valid().to_numpy(zero_copy_only=False)
             plain = np.flatnonzero(~settled & ~coded)
             lost = np.flatnonzero(settled)
             if len(plain):
-                key, doc, start = (b.column(i).to_numpy(zero_copy_only=False)[plain].astype(np.int64) for i in (0, 2, 4))
-                new = first_of(key)
-                new[0] = window is None or window[0] != key[0]
+                key, key2, doc, start = (b.column(i).take(pa.array(plain)).to_numpy() for i in (0, 1, 3, 5))
+                new = first_of(key, key2)
+                new[0] = window is None or window[:2] != (key[0], key2[0])
                 group = np.cumsum(new)
-                firsts = [(0, 0) if window is None else window[1:], *zip(doc[new].tolist(), start[new].tolist(), strict=True)]
+                firsts = [(0, 0) if window is None else window[2:], *zip(doc[new].tolist(), start[new].tolist(), strict=True)]
                 at = np.array(firsts, np.int64)[group]
                 lost = np.sort(np.r_[lost, plain[(doc != at[:, 0]) | (start != at[:, 1])]])
-                window = (int(key[-1]), int(at[-1, 0]), int(at[-1, 1]))
+                window = (int(key[-1]), int(key2[-1]), int(at[-1, 0]), int(at[-1, 1]))
             if len(lost):
-                yield pa.RecordBatch.from_arrays([b.column(i).take(pa.array(lost)) for i in (2, 3, 4, 5)], names=_NAMES[2:6])
+                yield pa.RecordBatch.from_arrays([b.column(i).take(pa.array(lost)) for i in (3, 4, 5, 6)], names=_NAMES[3:7])
             held = b.filter(pa.array(coded))
-            for p, block in zip(held.column(0).to_pylist(), held.column(1), strict=True):
+            for p, block in zip(held.column(0).to_pylist(), held.column(2), strict=True):
                 if p != part and blocks:
                     if (found := _merge_part(blocks, length)) is not None:
                         yield found
@@ -396,7 +424,8 @@ def _lost(docs: DataFrame, length: int, core: int, crowd: int = CROWD, others: l
     hints = shared_leaders(own, leaders_of, crowd).join(copied, same, "full")
     texts = own.repartition(n, *same)
     sent = texts.join(hints, same, "left").select("doc", "text", "text_hash", "leaders", "crowded", "is_copy", *along).mapInArrow(_send_runs(length, core, n * PARTS), _SENT)
-    spans = sent.repartition(n, spread("part")).sortWithinPartitions("part", "doc", "start").mapInArrow(_merge_runs(length), "doc long, text_hash long, start long, stop long")
+    where = F.when(F.col("settled"), F.pmod(F.xxhash64("doc", "text_hash"), F.lit(n))).otherwise(F.pmod("part", F.lit(n))).cast("int")
+    spans = sent.repartitionById(n, where).sortWithinPartitions("part", "key2", "doc", "start").mapInArrow(_merge_runs(length), "doc long, text_hash long, start long, stop long")
     spans = spans.groupBy(*same).agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
     return texts.join(spans, same, "left").join(copied, same, "left").select(doc_id(), "text", "starts", "stops", "is_copy", *along)
 
