@@ -15,8 +15,9 @@ Detect    ``mapInArrow``, one detector per worker
 
 A function says what it returns by its attribute ``returns`` (a DDL string or a
 StructType).  Without it the results are kept as VARIANT and written once to the
-shared folder, where a pass finds their fields: the function is not called
-again, also not after an executor is lost.  A field that some rows' results lack
+shared folder (``weftline.sources.shared.release`` deletes such tables), where a
+pass finds their fields: the function is not called again, also not after an
+executor is lost.  A field that some rows' results lack
 keeps its old value there.  Such results hold what JSON can say; dates, decimals
 and bytes are an error that asks for ``returns``.
 
@@ -28,7 +29,6 @@ from __future__ import annotations
 
 import json
 import os
-import uuid
 from collections.abc import Callable, Iterator, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from importlib.util import find_spec
@@ -45,7 +45,7 @@ from ..functions.prompts import resolve_prompt
 from ..plans.nodes import ALL_ROWS, UDF_PACKAGE, DatasetExpr, DetectSpec, PromptSpec, QueryProgram, QueryValidationError, UdfSpec
 from ..plans.schema import to_struct_type
 from ..sources.scan import ORDINAL, next_place, scan, spread_variant, variant_schema
-from ..sources.shared import shared_dir
+from ..sources.shared import materialise
 from .detect import DETECTIONS, Backend, detect_row
 from .executors import PromptExecutor
 
@@ -102,13 +102,6 @@ def _plain(value: Any) -> Any:
     raise TypeError(f"{type(value).__name__} has no form in JSON; let the function declare what it returns")
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """The rows, written once."""
-    path = f"{shared_dir(df.sparkSession)}/results-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _fields(result: Any, what: str) -> dict[str, Any]:
     if not isinstance(result, Mapping):
         raise TypeError(f"{what} returned {type(result).__name__}, not a mapping")
@@ -218,7 +211,7 @@ class Compiler:
 
     def _merge_open(self, df: DataFrame) -> DataFrame:
         """Fields of a VARIANT result, found by a pass over it, over the row."""
-        held = _written(df)
+        held = materialise(df, "results")
         schema = variant_schema(held, _RESULT)
         new = {}
         for f, column in zip(schema.fields, spread_variant(_RESULT, schema), strict=True):
@@ -275,7 +268,7 @@ class Compiler:
         reduced = self._call_per_group(df, keys, spec, declared)
         if declared is not None:
             return self._keys_and(reduced, keys, {f.name: F.col(f"{_RESULT}.{quoted(f.name)}").alias(f.name) for f in declared.fields})
-        held = _written(reduced.withColumn(_RESULT, F.parse_json(_RESULT)))
+        held = materialise(reduced.withColumn(_RESULT, F.parse_json(_RESULT)), "results")
         schema = variant_schema(held, _RESULT)
         return self._keys_and(held, keys, dict(zip(schema.fieldNames(), spread_variant(_RESULT, schema), strict=True)))
 
