@@ -424,6 +424,7 @@ def test_one_doc_id_is_in_one_component(spark):
 @pytest.mark.parametrize("hot", [2, 1000])
 def test_joins_of_hot_keys(spark, monkeypatch, hot):
     monkeypatch.setattr(common, "HOT", hot)
+    monkeypatch.setattr(common, "FEW", 0)
     rows = spark.range(500).selectExpr("id", "if(id % 3 = 0, 7L, id % 40) key", "if(id = 10, null, 1L) other")
     told = rows.groupBy(F.col("key").alias("_w_k0"), F.col("other").alias("_w_k1")).agg(F.count("*").alias("_w_n"), F.max("id").alias("most")).where("_w_n > 1 and _w_k1 is not null")
     got = {r["id"]: r["most"] for r in common.left_join_spread(rows, told, [F.col("key"), F.col("other")], 500, ["most"]).collect()}
@@ -560,6 +561,16 @@ def test_bpe_is_exact(texts):
     assert ["".join(chunks.chunks(t)) for t in texts] == texts
 
 
+def test_long_texts_are_encoded_in_parts(monkeypatch):
+    import pyarrow as pa
+
+    plain, codec = reference_codec(), bpe.codec(bpe.vocabulary_path())
+    texts = [text_of(5, 900), text_of(6, 500).replace(" ", " \n "), "x" * 9000, text_of(7, 40), ""]
+    monkeypatch.setattr(chunks, "_PART", 300)
+    assert len(chunks.parts(texts[0])) > 5 and "".join(chunks.parts(texts[0])) == texts[0]
+    assert [x.tolist() for x in codec.encode_column(pa.array(texts))] == [plain.encode_ordinary(t) for t in texts]
+
+
 def test_chunk_memory_is_bounded():
     import pyarrow as pa
 
@@ -649,6 +660,7 @@ SHARD_ROWS = "doc_id long, text string, lang string, source string, n_chars long
 @pytest.mark.parametrize("hot", [10_000, 5])
 def test_equal_texts_are_neighbours_whatever_their_metadata(spark, monkeypatch, hot):
     monkeypatch.setattr(common, "HOT", hot)
+    monkeypatch.setattr(common, "FEW", 0)
     rows = [(i, f"text {i % 40}", [None, "en", "de"][i % 3], f"s{i % 7}", i % 11) for i in range(400)] + [(None, "text 1", None, None, None), (500, None, "en", "s", 1), (501, "", "de", "t", 2)]
     got = collected(sharding.hilbert_shards(spark.createDataFrame(rows, SHARD_ROWS), shards=6))
     assert len(got) == len(rows)

@@ -7,18 +7,17 @@ package, so that it can be removed as a whole.
 from __future__ import annotations
 
 import os
-import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import shared_dir
+from ..sources.shared import materialise, release, shared_dir, written
+
+__all__ = ["HOT", "ROW_KEY", "documents", "keyed", "left_join_spread", "materialise", "partitions", "prepare", "release", "row_key", "shared_dir", "text_columns", "text_slices", "written"]
 
 #: What the row-identity column is called inside the operators.
 ROW_KEY = "_w_row"
-#: Tables of this process in the shared folder.
-_WRITTEN: list[str] = []
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,37 +34,11 @@ def prepare(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([*paths, root])
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet to the shared folder and read it again.
-
-    Written by committed tasks only, so a lost executor costs a re-read and
-    never a different row order or partition number.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _WRITTEN.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def written() -> int:
-    """How many tables ``materialise`` has written so far."""
-    return len(_WRITTEN)
-
-
-def release(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
-    """Delete the tables that ``materialise`` wrote after the first ``since``, but for the last ``keep``; results that still read them must be written before."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    gone = _WRITTEN[since : len(_WRITTEN) - keep]
-    del _WRITTEN[since : len(_WRITTEN) - keep]
-    for name in gone:
-        path = hadoop.Path(name)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 #: Keys with more rows are told by broadcast, if they are among the 100,000 at most that can have a 100,000th of all rows.
 HOT = 200
 _HOT_KEYS = 100_000
+#: So many narrow rows are nothing for one task: below, no key is hot.
+FEW = 50_000
 
 
 def left_join_spread(rows: DataFrame, told: DataFrame, keys: list[Column], n_rows: int, values: list[str]) -> DataFrame:
@@ -75,10 +48,11 @@ def left_join_spread(rows: DataFrame, told: DataFrame, keys: list[Column], n_row
     (how many rows have the key) and the values.  Keys with more than ``HOT``
     rows, and more than a 100,000th of all, are broadcast (there are 100,000 of
     them at most); their rows do not meet in the exchange by key.
+    ``FEW`` rows or less are joined as they are.
     """
     named = [f"_w_k{i}" for i in range(len(keys))]
     out = [f"_w_v{i}" for i in range(len(values))]
-    if n_rows <= HOT:
+    if n_rows <= FEW:
         held = rows.withColumns({f"_w_q{i}": k for i, k in enumerate(keys)})
         rest = told.select(*named, *[F.col(v).alias(o) for o, v in zip(out, values, strict=True)])
         found = held.join(rest, [F.col(f"_w_q{i}") == F.col(n) for i, n in enumerate(named)], "left")

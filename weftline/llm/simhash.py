@@ -228,9 +228,12 @@ def components(edges: DataFrame) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def _links_of_ids(prints: DataFrame, n: int) -> DataFrame:
-    """Edges (a, b) that join the fingerprints of rows with the same doc_id."""
+def _links_of_ids(prints: DataFrame, n: int) -> DataFrame | None:
+    """Edges (a, b) that join the fingerprints of rows with the same doc_id; None if no doc_id has two."""
     several = prints.where("doc_id is not null").groupBy(F.col("doc_id").alias("_w_k0")).agg(F.min("print").alias("_w_least"), F.max("print").alias("_w_most"), F.count("*").alias("_w_n")).where("_w_least < _w_most")
+    several = materialise(several, "simhash-ids")
+    if several.isEmpty():
+        return None
     told = left_join_spread(prints.where("doc_id is not null"), several, [F.col("doc_id")], n, ["_w_least"])
     return told.where("print > _w_least").select(F.col("print").alias("a"), F.col("_w_least").alias("b"))
 
@@ -241,8 +244,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANC
     prints = materialise(texts.mapInArrow(_fingerprints(words), "doc_id long, print long"), "simhash-prints")
     n = prints.count()
     nodes = materialise(prints.groupBy("print").agg(F.min("doc_id").alias("least"), F.count("*").alias("_w_n")), "simhash-nodes")
-    edges = link(nodes.select("print", F.col("print").alias("node")), nodes.count(), distance).unionByName(_links_of_ids(prints, n))
-    roots = components(edges.distinct())
+    edges = link(nodes.select("print", F.col("print").alias("node")), nodes.count(), distance)
+    if (of_ids := _links_of_ids(prints, n)) is not None:
+        edges = edges.unionByName(of_ids).distinct()
+    roots = components(edges)
     members = roots.unionByName(roots.select(F.col("b").alias("a"), "b").distinct()).select(F.col("a").alias("_w_a"), F.col("b").alias("root"))
     members = nodes.join(members, F.col("print") == F.col("_w_a")).select("print", "least", "root")
     of_root = members.groupBy(F.col("root").alias("_w_k0")).agg(F.min("least").alias("component_id"), F.count("*").alias("_w_n"))
