@@ -152,6 +152,10 @@ def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, decoded binary")
 
 
+#: Ids of a text that are written and decoded at a time.
+_AT_ONCE = 1 << 18
+
+
 def _digest(path: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path or vocabulary_path())
@@ -159,10 +163,14 @@ def _digest(path: str | None):
             for start, texts in text_columns(b, 1, 8 << 20):
                 n, of_ids, of_bytes = [], [], []
                 for ids in bpe.encode_column(texts):
-                    ids = ids.tolist()
+                    written, decoded = hashlib.sha256(), hashlib.sha256()
+                    for at in range(0, len(ids), _AT_ONCE):
+                        some = ids[at : at + _AT_ONCE].tolist()
+                        written.update((" " * bool(at) + " ".join(map(bpe.names.__getitem__, some))).encode())
+                        decoded.update(bpe.decode(some))
                     n.append(len(ids))
-                    of_ids.append(hashlib.sha256(" ".join(map(bpe.names.__getitem__, ids)).encode()).hexdigest())
-                    of_bytes.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
+                    of_ids.append(written.hexdigest())
+                    of_bytes.append(decoded.hexdigest())
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(start, len(texts)), pa.array(n, pa.int64()), pa.array(of_ids), pa.array(of_bytes)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run

@@ -9,7 +9,8 @@ there, and its ids are those of its chunks in a row.
 Texts whose spaces are all of that kind are cut at every space by Arrow, and
 their distinct words are found by Arrow too; the ids are then put together by
 numpy.  The others (a space before white space, or a text that ends in white
-space) are cut by a regular expression.
+space) are cut by a regular expression.  Very long texts are taken in parts,
+cut at the same kind of place.
 """
 
 from __future__ import annotations
@@ -27,12 +28,29 @@ _WHITE = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{180E}\x{2000}-\x{200F}\x
 _ODD = f" {_WHITE}|{_WHITE} \\z"
 #: Longer chunks are encoded anew each time.
 _LONG = 64
+#: Texts of more code points are taken in parts.
+_PART = 1 << 22
 
 
 def chunks(text: str) -> list[str]:
     return _CUT.split(text)
 
 
+def parts(text: str, size: int | None = None) -> list[str]:
+    """The text in parts of about ``size`` code points, cut before spaces between letters or digits."""
+    size = size or _PART
+    out, at = [], 0
+    while len(text) - at > size:
+        stop = text.find(" ", at + size)
+        while stop != -1 and not (text[stop - 1].isalnum() and text[stop + 1 : stop + 2].isalnum()):
+            stop = text.find(" ", stop + 1)
+        if stop == -1:
+            break
+        out.append(text[at:stop])
+        at = stop
+    return [*out, text[at:]]
+
+
 class _Memory:
     """Ids by key, in two generations of about ``limit`` keys; what is still in use moves on to the next one."""
 
@@ -85,7 +103,7 @@ class ChunkMemo:
         odd = pc.match_substring_regex(texts, _ODD)
         if self.special is not None:
             odd = pc.or_(odd, pc.match_substring(texts, self.special))
-        odd = odd.to_numpy(zero_copy_only=False)
+        odd = pc.or_(odd, pc.greater(pc.binary_length(texts), 4 * _PART)).to_numpy(zero_copy_only=False)
         if not odd.any():
             return self._even(texts)
         even, ends = self._even(texts.filter(pa.array(~odd)))
@@ -102,6 +120,8 @@ class ChunkMemo:
     def _odd(self, text: str) -> np.ndarray:
         if self.special is not None and self.special in text:
             return np.frombuffer(self.encode_many([text])[0], "<u4")
+        if len(some := parts(text)) > 1:
+            return np.concatenate([self.ids(pa.array([p]))[0] for p in some])
         cut = chunks(text)
         distinct = list(set(cut))
         known = dict(zip(distinct, self.any.look_up(distinct), strict=True))
