@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW_KEY, documents, keyed, materialise, partitions, row_key
+from .common import ROW_KEY, documents, keyed, materialise, partitions, row_key, text_slices
 
 MIN_CHARS = 1
 MIN_DOCS = 10
@@ -52,23 +52,25 @@ def _explode(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.R
 
     digest = xxhash.xxh3_128_digest
     for batch in batches:
-        docs, rows, at, n_lines, hashes = [], [], [], [], []
-        for doc, row, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(1), strict=True):
-            lines = (text.as_py() or "").encode().split(b"\n")
-            n = len(lines)
-            for i, line in enumerate(lines):
-                key = line_key(line)
-                if key and (min_chars <= 1 or len(key.decode()) >= min_chars):
-                    hashes.append(digest(key))
-                    docs.append(doc)
-                    rows.append(row)
-                    at.append(i)
-                    n_lines.append(n)
-        two = np.frombuffer(b"".join(hashes), ">i8").astype(np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(two[:, 0]), pa.array(two[:, 1]), pa.array(docs, pa.int64()), pa.array(rows, pa.int64()), pa.array(at, pa.int32()), pa.array(n_lines, pa.int32())],
-            names=["h1", "h2", "doc_id", ROW_KEY, "at", "n_lines"],
-        )
+        ids, keys = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+        for start, texts in text_slices(batch, 1):
+            docs, rows, at, n_lines, hashes = [], [], [], [], []
+            for doc, row, text in zip(ids[start:], keys[start:], texts, strict=False):
+                lines = (text or "").encode().split(b"\n")
+                n = len(lines)
+                for i, line in enumerate(lines):
+                    key = line_key(line)
+                    if key and (min_chars <= 1 or len(key.decode()) >= min_chars):
+                        hashes.append(digest(key))
+                        docs.append(doc)
+                        rows.append(row)
+                        at.append(i)
+                        n_lines.append(n)
+            two = np.frombuffer(b"".join(hashes), ">i8").astype(np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(two[:, 0]), pa.array(two[:, 1]), pa.array(docs, pa.int64()), pa.array(rows, pa.int64()), pa.array(at, pa.int32()), pa.array(n_lines, pa.int32())],
+                names=["h1", "h2", "doc_id", ROW_KEY, "at", "n_lines"],
+            )
 
 
 class _Run:
@@ -189,20 +191,23 @@ def with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        n, dropped, digests = [], [], []
-        for text, keep in zip(b.column(1), b.column(2), strict=True):
-            lines, count = kept_lines(text.as_py(), keep.as_py())
-            n.append(count)
-            dropped.append(count - len(lines))
-            digests.append(hashlib.sha256(b"\n".join(lines)).hexdigest())
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(dropped, pa.int64()), pa.array(digests)], names=["doc_id", "n_lines", "n_dropped", "kept_sha256"])
+        keeps = b.column(2)
+        for start, texts in text_slices(b, 1):
+            n, dropped, digests = [], [], []
+            for i, text in enumerate(texts, start):
+                lines, count = kept_lines(text, keeps[i].as_py())
+                n.append(count)
+                dropped.append(count - len(lines))
+                digests.append(hashlib.sha256(b"\n".join(lines)).hexdigest())
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(start, len(texts)), pa.array(n, pa.int64()), pa.array(dropped, pa.int64()), pa.array(digests)], names=["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
 
 def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        at = b.schema.get_field_index("text")
-        texts = [None if t.as_py() is None else b"\n".join(kept_lines(t.as_py(), k.as_py())[0]).decode() for t, k in zip(b.column(at), b.column(b.num_columns - 1), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else b.column(i) for i in range(b.num_columns - 1)], names=b.schema.names[:-1])
+        at, keeps = b.schema.get_field_index("text"), b.column(b.num_columns - 1)
+        for start, texts in text_slices(b, at):
+            out = [None if t is None else b"\n".join(kept_lines(t, keeps[i].as_py())[0]).decode() for i, t in enumerate(texts, start)]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if i == at else b.column(i).slice(start, len(texts)) for i in range(b.num_columns - 1)], names=b.schema.names[:-1])
 
 
 def drop_lines(docs: DataFrame, **options) -> DataFrame:
@@ -215,9 +220,10 @@ def _mostly_frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     """doc_id, text, bitmap -> doc_id and text of those that lose half of their non-blank lines or more."""
     for b in batches:
         most = []
-        for text, keep in zip(b.column(1), b.column(2), strict=True):
-            lines, count = kept_lines(text.as_py(), keep.as_py())
-            most.append(count - len(lines) >= sum(1 for x in lines if line_key(x)))
+        for start, texts in text_slices(b, 1):
+            for i, text in enumerate(texts, start):
+                lines, count = kept_lines(text, b.column(2)[i].as_py())
+                most.append(count - len(lines) >= sum(1 for x in lines if line_key(x)))
         yield b.select([0, 1]).filter(pa.array(most, pa.bool_()))
 
 
