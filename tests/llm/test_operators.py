@@ -262,8 +262,10 @@ def test_language_against_a_plain_model(spark):
 
 def test_weights_are_sparse_and_the_temperature_is_inside(spark):
     rng = random.Random(1)
-    words = {lang: ["".join(rng.choice(letters) for _ in range(rng.randint(2, 6))) for _ in range(60)] for lang, letters in (("aa", "abcdefgh"), ("bb", "efghijkl"), ("cc", "aeiouxyz"))}
-    rows = [(i, " ".join(rng.choices(words[lang], k=40)), lang if rng.random() < 0.9 else "aa") for i in range(500) for lang in [rng.choice(list(words))]]
+    made = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    words = {lang: [made(letters, rng.randint(2, 6)) for _ in range(60)] for lang, letters in (("aa", "abcdefgh"), ("bb", "efghijkl"), ("cc", "aeiouxyz"))}
+    # Each text has words that tell nothing, and one label of twenty is another.
+    rows = [(i, " ".join(rng.choices(words[lang], k=30) + [made("abcdefghijklmnopqrstuvwxyz", 7) for _ in range(10)]), lang if rng.random() < 0.95 else "aa") for i in range(500) for lang in [rng.choice(list(words))]]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = language_id.train(language_id.training_rows(docs))
     seen = np.unique(np.concatenate([language_id.features(t)[0] for _, t, _ in rows]))

@@ -1,0 +1,156 @@
+"""The registered queries, on written tables with odd rows, against brute force."""
+
+import hashlib
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from weftline.llm import common, language_id, packing, registry
+
+from .conftest import SCHEMA, odd_rows, text_of
+from .test_operators import by_row, collected, order, plain_components, plain_fingerprint, plain_lines, plain_nearest, plain_next, plain_suffixes, plain_windows, reference_codec
+
+PASSAGE = text_of(90, 70, 100)
+#: Besides the odd rows: one doc_id with two texts, of which one is a near copy of another row and both hold a common passage.
+EXTRA = [(30, f"{text_of(91, 40)}\n{PASSAGE}"), (30, f"{PASSAGE}\n{text_of(92, 60)}"), (29, text_of(92, 60)), (31, f"{text_of(93, 30)} {PASSAGE}")]
+EXTRA += [(40 + i, f"A line of all.\n{text_of(94 + i, 30)}\na line of ALL. ") for i in range(11)]
+
+
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    folder = tmp_path_factory.mktemp("tables")
+    rows = odd_rows() + [(d, t, "en", "s", len(t), "c") for d, t in EXTRA]
+    spark.createDataFrame(rows, SCHEMA).repartition(5).write.parquet(f"{folder}/documents.parquet")
+    draw = np.random.default_rng(4)
+    vectors = draw.standard_normal((600, 64)).astype(np.float32)
+    vectors[100:160] = vectors[100] + np.float32(0.02) * draw.standard_normal((60, 64)).astype(np.float32)
+    held = [(i, v.tolist(), i % 3) for i, v in enumerate(vectors)] + [(700, None, 0), (750, [0.0] * 64, 0), (None, [1.0] * 64, 0)]
+    spark.createDataFrame(held, "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
+    return str(folder), [(r[0], r[1] or "") for r in rows], vectors.astype(np.float64)
+
+
+@pytest.fixture
+def run(spark, tables):
+    return lambda name: collected(registry.QUERIES[name](spark, tables[0]))
+
+
+def test_all_are_registered():
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
+
+
+def test_op1(run, tables):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    plain = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    got, want = run("op1_packing"), Counter()
+    for doc, text in tables[1]:
+        ids = [*plain.encode(text, add_special_tokens=False).ids, 0]
+        cuts = [0, *range(len(ids) % 2048 or 2048, len(ids), 2048), len(ids)]
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            want[doc, k, a, b - a, zlib.crc32(np.asarray(ids[a:b], "<u4").tobytes())] += 1
+    assert by_row(got, "doc_id", "piece", "start", "length", "ids_crc32") == want
+    places = defaultdict(list)
+    for r in got:
+        places[r["sequence_id"]].append((r["offset"], r["length"]))
+    for held in places.values():
+        held.sort()
+        assert [o for o, _ in held] == [sum(n for _, n in held[:i]) for i in range(len(held))] and sum(n for _, n in held) <= 2048
+    assert len(places) <= -(-sum(r["length"] for r in got) // 2048) + 4
+
+
+def test_op2(run, tables, spark):
+    got = run("op2_language_id")
+    assert Counter(r["doc_id"] for r in got) == Counter(d for d, _ in tables[1])
+    learned = {r[2] for r in odd_rows() if r[2]} | {"en"}
+    docs = spark.read.parquet(f"{tables[0]}/documents.parquet")
+    model = language_id.train(language_id.training_rows(docs))
+    want = Counter((d, d is not None and zlib.crc32(str(d).encode()) % 4 == 2, model.predict(t)[0]) for d, t in tables[1])
+    assert by_row(got, "doc_id", "held_out", "lang_pred") == want
+    assert all(0 <= r["score"] <= 1 and r["lang_pred"] in learned | {"und"} for r in got)
+
+
+def test_op3(run, tables, spark):
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    assert by_row(run("op3_fingerprints"), *names) == plain_next(spark, spark.read.parquet(f"{tables[0]}/documents.parquet"))
+
+
+def test_op4(run, tables):
+    rows = [(i, d, plain_fingerprint(t)) for i, (d, t) in enumerate(tables[1])]
+    of = {i: (d, p) for i, d, p in rows}
+    root = plain_components(list(of), lambda a, b: (of[a][1] ^ of[b][1]).bit_count() <= 3 or of[a][0] is not None and of[a][0] == of[b][0])
+    least = {}
+    for i, (d, _) in of.items():
+        if d is not None:
+            least[root[i]] = min(least.get(root[i], d), d)
+    assert by_row(run("op4_simhash"), "doc_id", "fingerprint", "component_id") == Counter((d, f"{p:016x}", least.get(root[i])) for i, d, p in rows)
+
+
+def test_op5(run, tables):
+    found = defaultdict(list)
+    for r in run("op5_neighbours"):
+        found[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    want = plain_nearest(list(enumerate(tables[2])), range(0, 600, 50))
+    assert set(found) == set(want)
+    assert sum(len({v for _, v, _ in found[q]} & {v for v, _ in want[q]}) for q in want) >= 0.9 * 5 * len(want)
+    assert all([r for r, *_ in sorted(x)] == [1, 2, 3, 4, 5] for x in found.values())
+
+
+def test_op6(run, tables):
+    plain = reference_codec()
+    want = Counter()
+    for d, t in tables[1]:
+        ids = plain.encode_ordinary(t)
+        want[d, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()] += 1
+    assert by_row(run("op6_bpe"), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == want
+
+
+def test_op7(run, tables):
+    keep, want = plain_lines(tables[1], 10), Counter()
+    for d, t in tables[1]:
+        lines = t.split("\n")
+        kept = "\n".join(x for x, k in zip(lines, keep[d, t]) if k)
+        want[d, len(lines), keep[d, t].count(False), hashlib.sha256(kept.encode()).hexdigest()] += 1
+    assert by_row(run("op7_line_dedup"), "doc_id", "n_lines", "n_dropped", "kept_sha256") == want
+    assert any(n for _, _, n, _ in want)
+
+
+def test_op8(run, tables):
+    got = run("op8_sharding")
+    assert by_row(got, "doc_id", "size", "text_crc32") == Counter((d, len(t.encode()) + 8, zlib.crc32(t.encode())) for d, t in tables[1])
+    counts = Counter(r["shard"] for r in got)
+    assert set(counts) == set(range(24)) and max(counts.values()) - min(counts.values()) <= 1
+    assert all(sorted(r["slot"] for r in got if r["shard"] == s) == list(range(n)) for s, n in counts.items())
+    assert {(r["law"], r["grown_shard"]) for r in got} == {("rows", None)}
+
+
+def test_op9(run, tables):
+    want = plain_windows(tables[1], 50)
+    assert by_row(run("op9_substring_dedup"), "doc_id", "n_words", "n_removed", "kept_sha256") == Counter({(d, n, g, hashlib.sha256(b" ".join(k)).hexdigest()): c for (d, n, g, k), c in want.items()})
+
+
+def test_op10(run, tables):
+    gone, want = plain_suffixes(tables[1], 100), Counter()
+    for d, t in tables[1]:
+        raw, lost = np.frombuffer(t.encode(), np.uint8), gone[d, t]
+        want[d, len(raw), int(lost.sum()), int((np.diff(np.r_[0, lost.astype(int)]) == 1).sum()), hashlib.sha256(raw[~lost].tobytes()).hexdigest()] += 1
+    assert by_row(run("op10_suffix_dedup"), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+
+
+def test_windows_with_one_key_are_told_apart_by_their_bytes(monkeypatch):
+    """Both hashes of left parts made equal: the bytes decide, as before."""
+    from weftline.llm import suffix_dedup
+
+    draw = random.Random(3)
+    order_ = sorted((bytes(draw.choice(b"ab") for _ in range(12)), bytes(draw.choice(b"ab") for _ in range(6))) for _ in range(80))
+    shared = np.array([0, *(suffix_dedup.common_prefix(a[0], b[0]) for a, b in zip(order_, order_[1:]))])
+    rank = np.array(draw.sample(range(80), 80))
+    want = suffix_dedup.lost_spans(order_, shared, rank, 12)
+    real = suffix_dedup.powers
+    monkeypatch.setattr(suffix_dedup, "powers", lambda n, which=0: np.zeros(n, np.uint64) if not which else real(n, which=which))
+    assert np.array_equal(suffix_dedup.lost_spans(order_, shared, rank, 12), want)
+    assert order(None) == -(1 << 63) and common.HOT > 0
