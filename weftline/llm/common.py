@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import materialise, release, shared_dir, written
 
-__all__ = ["HOT", "ROW_KEY", "documents", "keyed", "left_join_spread", "materialise", "partitions", "prepare", "release", "row_key", "shared_dir", "text_columns", "text_slices", "written"]
+__all__ = ["HOT", "HOT_KEYS", "ROW_KEY", "documents", "keyed", "left_join_spread", "materialise", "partitions", "prepare", "release", "row_key", "shared_dir", "text_columns", "text_slices", "written"]
 
 #: What the row-identity column is called inside the operators.
 ROW_KEY = "_w_row"
@@ -36,7 +36,7 @@ def prepare(spark: SparkSession) -> None:
 
 #: Keys with more rows are told by broadcast, if they are among the 100,000 at most that can have a 100,000th of all rows.
 HOT = 200
-_HOT_KEYS = 100_000
+HOT_KEYS = 100_000
 #: So many narrow rows are nothing for one task: below, no key is hot.
 FEW = 50_000
 
@@ -57,7 +57,7 @@ def left_join_spread(rows: DataFrame, told: DataFrame, keys: list[Column], n_row
         rest = told.select(*named, *[F.col(v).alias(o) for o, v in zip(out, values, strict=True)])
         found = held.join(rest, [F.col(f"_w_q{i}") == F.col(n) for i, n in enumerate(named)], "left")
         return found.select(*rows.columns, *[F.col(o).alias(v) for o, v in zip(out, values, strict=True)])
-    is_hot = F.col("_w_n") > max(HOT, n_rows // _HOT_KEYS)
+    is_hot = F.col("_w_n") > max(HOT, n_rows // HOT_KEYS)
     of = lambda done, parts: F.struct(F.lit(done).alias("done"), *[c.alias(f"k{i}") for i, c in enumerate(parts)])
     few = told.where(is_hot).select(of(False, map(F.col, named)).alias("_w_h"), *[F.col(v).alias(f"_w_h{i}") for i, v in enumerate(values)])
     rest = told.where(~is_hot).select(of(False, map(F.col, named)).alias("_w_o"), *[F.col(v).alias(o) for o, v in zip(out, values, strict=True)])

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import left_join_spread, materialise, partitions, text_slices
+from .common import HOT_KEYS, left_join_spread, materialise, partitions, text_slices
 
 #: Stands for a null doc_id: smaller than any other.
 NULL_DOC = -(1 << 63)
@@ -56,8 +56,13 @@ def shared_leaders(own: DataFrame, leaders_of: Callable[[list[bytes]], Iterable[
     found = dealt.mapInArrow(_shared_leaders, "doc long, text_hash long, key long")
     if crowd is None:
         return found.groupBy("doc", "text_hash").agg(F.collect_set("key").alias("leaders"))
-    many = found.groupBy("key").count().where(F.col("count") > crowd).select("key", F.lit(True).alias("_w_many"))
-    marked = found.join(many, "key", "left")
+    found = materialise(found, "leaders")
+    n = found.count()
+    many = found.groupBy(F.col("key").alias("_w_k0")).agg(F.count("*").alias("_w_n")).where(F.col("_w_n") > crowd).withColumn("_w_many", F.lit(True))
+    if n <= crowd * HOT_KEYS:  # so many leaders at most are crowded
+        marked = found.join(F.broadcast(many), F.col("key") == F.col("_w_k0"), "left")
+    else:
+        marked = left_join_spread(found, many, [F.col("key")], n, ["_w_many"])
     return marked.groupBy("doc", "text_hash").agg(F.collect_set("key").alias("leaders"), F.collect_set(F.when(F.col("_w_many"), F.col("key"))).alias("crowded"))
 
 

@@ -318,12 +318,12 @@ def lost_spans(order: list[tuple[bytes, bytes]], shared: np.ndarray, rank: np.nd
     by_rank = np.argsort(rank, kind="stable")
     found = np.tile(np.array([1 << 30, -(1 << 30)]), (n, 1))
     sums, sums2 = np.zeros(n, U), np.zeros(n, U)
-    scale, scale2 = powers(widest + 1), powers(widest + 1, which=1)
+    scale, scale2 = powers(widest + 1) * U(0xD6E8FEB86659FD93), powers(widest + 1, which=1) * U(0xA0761D6478BD642F)
     for o in range(widest + 1):
         if o:
             byte = flat[:, o - 1].astype(U) + U(1)
-            sums = sums + byte * (scale[o] * U(0xD6E8FEB86659FD93))
-            sums2 = sums2 + byte * (scale2[o] * U(0xA0761D6478BD642F))
+            sums = sums + byte * scale[o]
+            sums2 = sums2 + byte * scale2[o]
         needed = length - o
         group = np.cumsum(shared < needed).astype(U)
         able = (left >= o) & (right >= needed)
