@@ -65,9 +65,9 @@ PROJECTIONS = 128
 COLLISIONS = 0.57
 VERIFIED = 0.1
 REACH = 0.5
-#: Cuts of a sorted array, and the first half width of a window in them and its growth.
-GROUPS, START, STEP = 64, 8, 1.25
-QUERIES_AT_ONCE = 64
+#: Cuts of a sorted array, the first half width of a window in them, and by how many it grows.
+GROUPS, START, STEP = 64, 12, 2
+QUERIES_AT_ONCE = 256
 MOST_SPLITS, FREQUENT = 12, 16
 SEED = 11
 _PAIRS = 32_768
@@ -196,7 +196,7 @@ class Block:
                 if full[i] or kth > -np.inf and (count[q] >= enough or np.sqrt(max(0.0, 2 - 2 * kth)) + 1e-9 < cover[i]):
                     continue
                 going.append(q)
-            active, half = np.asarray(going, np.int64), max(half + 1, int(half * STEP))
+            active, half = np.asarray(going, np.int64), half + STEP
         return best
 
 
