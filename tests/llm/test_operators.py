@@ -435,6 +435,24 @@ def test_joins_of_hot_keys(spark, monkeypatch, hot):
     assert got == {i: None if i == 10 or sum(x == keys[i] for x in held.values()) < 2 else max(j for j, x in held.items() if x == keys[i]) for i in range(500)}
 
 
+def test_hot_joins_inside_the_operators(spark, odd, monkeypatch):
+    """As if every key with more than two rows were hot."""
+    from weftline.llm import repeats
+
+    monkeypatch.setattr(common, "FEW", 0)
+    monkeypatch.setattr(common, "HOT", 2)
+    text = text_of(5, 40)
+    rows = [(i, text) for i in range(20)] + [(i, text_of(i, 20)) for i in range(20, 30)] + [(3, text_of(20, 20)), (None, text), (40, ""), (41, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc"] for r in repeats.copies(repeats.with_identity(docs)).collect()}
+    assert got == {*range(20), 20}  # the null id is the smallest
+    found = {(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(docs).collect()}
+    assert {c for d, c in found if d is not None and d < 21} == {0} and (41, 40) in found and (None, 0) in found
+    path = simhash.components(spark.createDataFrame([(i + 1, i) for i in range(30)] + [(100 + i, 50) for i in range(40)], "a long, b long"))
+    assert {r["a"]: r["b"] for r in path.collect()} == {**{i: 0 for i in range(1, 31)}, **{100 + i: 50 for i in range(40)}}
+    test_suffix_dedup(spark, odd, spark.createDataFrame([], odd.schema), 30, 8, 2)
+
+
 def test_components_of_paths(spark):
     chain = [(i + 1, i) for i in range(40)] + [(100, 60), (100, 61), (101, 61), (7, 3)]
     got = {r["a"]: r["b"] for r in simhash.components(spark.createDataFrame(chain, "a long, b long")).collect()}

@@ -51,22 +51,22 @@ def left_join_spread(rows: DataFrame, told: DataFrame, keys: list[Column], n_row
     ``FEW`` rows or less are joined as they are.
     """
     named = [f"_w_k{i}" for i in range(len(keys))]
-    out = [f"_w_v{i}" for i in range(len(values))]
+    out = [f"_ws_value{i}" for i in range(len(values))]
     if n_rows <= FEW:
-        held = rows.withColumns({f"_w_q{i}": k for i, k in enumerate(keys)})
+        held = rows.withColumns({f"_ws_key{i}": k for i, k in enumerate(keys)})
         rest = told.select(*named, *[F.col(v).alias(o) for o, v in zip(out, values, strict=True)])
-        found = held.join(rest, [F.col(f"_w_q{i}") == F.col(n) for i, n in enumerate(named)], "left")
+        found = held.join(rest, [F.col(f"_ws_key{i}") == F.col(n) for i, n in enumerate(named)], "left")
         return found.select(*rows.columns, *[F.col(o).alias(v) for o, v in zip(out, values, strict=True)])
     is_hot = F.col("_w_n") > max(HOT, n_rows // HOT_KEYS)
     of = lambda done, parts: F.struct(F.lit(done).alias("done"), *[c.alias(f"k{i}") for i, c in enumerate(parts)])
-    few = told.where(is_hot).select(of(False, map(F.col, named)).alias("_w_h"), *[F.col(v).alias(f"_w_h{i}") for i, v in enumerate(values)])
-    rest = told.where(~is_hot).select(of(False, map(F.col, named)).alias("_w_o"), *[F.col(v).alias(o) for o, v in zip(out, values, strict=True)])
-    held = rows.withColumn("_w_q", of(False, keys)).join(F.broadcast(few), F.col("_w_q") == F.col("_w_h"), "left")
+    few = told.where(is_hot).select(of(False, map(F.col, named)).alias("_ws_hot"), *[F.col(v).alias(f"_ws_hot{i}") for i, v in enumerate(values)])
+    rest = told.where(~is_hot).select(of(False, map(F.col, named)).alias("_ws_other"), *[F.col(v).alias(o) for o, v in zip(out, values, strict=True)])
+    held = rows.withColumn("_ws_key", of(False, keys)).join(F.broadcast(few), F.col("_ws_key") == F.col("_ws_hot"), "left")
     # Rows that have been told go anywhere, and no key of the rest is like theirs.
     anywhere = of(True, [F.xxhash64(*map(F.col, rows.columns), F.monotonically_increasing_id()), *[F.lit(0).cast("long")] * (len(keys) - 1)])
-    held = held.withColumn("_w_q", F.when(F.col("_w_h").isNull(), F.col("_w_q")).otherwise(anywhere))
-    found = held.join(rest, F.col("_w_q") == F.col("_w_o"), "left")
-    return found.select(*rows.columns, *[F.coalesce(f"_w_h{i}", o).alias(v) for i, (o, v) in enumerate(zip(out, values, strict=True))])
+    held = held.withColumn("_ws_key", F.when(F.col("_ws_hot").isNull(), F.col("_ws_key")).otherwise(anywhere))
+    found = held.join(rest, F.col("_ws_key") == F.col("_ws_other"), "left")
+    return found.select(*rows.columns, *[F.coalesce(f"_ws_hot{i}", o).alias(v) for i, (o, v) in enumerate(zip(out, values, strict=True))])
 
 
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:

@@ -77,7 +77,7 @@ _PAIRS = 32_768
 def directions(size: int, count: int = PROJECTIONS) -> np.ndarray:
     """(size, count): unit directions, orthonormal basis after basis."""
     draw = np.random.default_rng([SEED, size])
-    bases = [np.linalg.qr(draw.standard_normal((size, size)))[0] for _ in range(-(-count // size))]
+    bases = [np.linalg.qr(draw.standard_normal((size, min(size, count))))[0] for _ in range(-(-count // size))]
     return np.ascontiguousarray(np.concatenate(bases, axis=1)[:, :count])
 
 
