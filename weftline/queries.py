@@ -223,6 +223,49 @@ def json_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, Input(path)).select("o_orderkey", "o_totalprice", "o_orderstatus")
 
 
+@_query("select o_orderkey, case when o_orderkey % 3 = 0 then cast(o_orderkey as varchar) when o_orderkey % 3 = 1 then '\"' || o_orderstatus || '\"' else '[1,\"' || o_orderstatus || '\"]' end as v from orders")
+def json_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A field that is a number, a string or a list, as JSON text."""
+    path = f"{shared_dir(spark)}/mixed-{uuid.uuid4().hex}.jsonl"
+    value = F.expr("""case when o_orderkey % 3 = 0 then cast(o_orderkey as string) when o_orderkey % 3 = 1 then concat('"', o_orderstatus, '"') else concat('[1,"', o_orderstatus, '"]') end""")
+    line = F.concat(F.lit('{"o_orderkey": '), F.col("o_orderkey").cast("string"), F.lit(', "v": '), value, F.lit("}"))
+    spark.read.parquet(f"{sf_dir}/orders.parquet").select(line.alias("value")).write.text(path)
+    return _run(spark, Input(path)).select("o_orderkey", F.to_json("v").alias("v"))
+
+
+def _count_turns(resolved: Any, payload: Any, context: Any) -> dict[str, int]:
+    return {"turns": len(payload)}
+
+
+@_query("select conv_id, count(*) as turns from conversations group by conv_id")
+def prompt_reduce_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = Reduce(Input(f"{sf_dir}/conversations.parquet"), "conv_id", "How many turns are there?", schema={"turns": "integer"})
+    return _run(spark, plan, prompt_executor=StaticPromptExecutor({("reduce", "How many turns are there?"): _count_turns}))
+
+
+@_query("""select conv_id, 'Turns of ' || conv_id || ':' || repeat('+', cast(count(*) as int)) as summary from conversations where role <> 'system' group by conv_id""")
+def text_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompt parts, Record and ForEach through the text form and back."""
+    ask, label, each = ["Is ", Record["role"], " a speaker?"], ["of ", Record["conv_id"], ":"], ["Turns ", ForEach(["+"])]
+    spoken = Map(Filter(Input(f"{sf_dir}/conversations.parquet"), ask), label, schema={"label": "string"})
+    program = parse_query(render_query(Reduce(spoken, ["conv_id", "label"], each, schema={"summary": "string"})))
+    executor = StaticPromptExecutor({
+        ("filter", PromptSpec(tuple(ask)).cache_key()): _speaks,
+        ("map", PromptSpec(tuple(label)).cache_key()): _label,
+        ("reduce", PromptSpec(tuple(each)).cache_key()): _parts_text,
+    })
+    out = _run(spark, program, prompt_executor=executor)
+    return out.select("conv_id", F.concat(F.substring_index("summary", " ", 1), F.lit(" "), F.col("label"), F.substring_index("summary", " ", -1)).alias("summary"))
+
+
+def _speaks(resolved: Any, payload: Any, context: Any) -> bool:
+    return resolved.parts[1] != "system"
+
+
+def _label(resolved: Any, payload: Any, context: Any) -> dict[str, str]:
+    return {"label": "".join(map(value_text, resolved.parts))}
+
+
 class _OneBox(Backend):
     """Frames and boxes made from the video's name: for tests without media."""
 
@@ -260,3 +303,20 @@ def stream_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/log").trigger(availableNow=True).start()
     done.awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{root}/out")
+
+
+@_query("""select event_type, strftime(time_bucket(interval '5 minutes', ts), '%Y-%m-%d %H:%M:%S') as began, cast(sum(event_id) as bigint) as total, count(*) as count
+from events group by 1, 2""")
+def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A keyed Reduce over windows of event time, the stream run to its end; the last batch leaves all windows."""
+    root = f"{shared_dir(spark)}/windows-{uuid.uuid4().hex}"
+    path = f"{sf_dir}/events.parquet"
+    schema = spark.read.parquet(path).schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path + "*").withColumn("ts", F.col("ts").cast("timestamp"))
+    plan = Reduce(_events(sf_dir), "event_type", ops.sum_ids)
+    began = F.date_format(F.col("window.start"), "yyyy-MM-dd HH:mm:ss").alias("began")
+    out = compile_stream(plan, stream, event_time="ts").select("event_type", began, "total", "count")
+    keep = lambda batch, number: batch.write.mode("overwrite").parquet(f"{root}/out")
+    done = out.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{root}/log").trigger(availableNow=True).start()
+    done.awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{root}/out")
