@@ -88,7 +88,7 @@ class ChunkMemo:
     ``special``: texts that hold this string are given to ``encode_many`` whole.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], Sequence[bytes]], limit: int = 400_000, special: str | None = None) -> None:
+    def __init__(self, encode_many: Callable[[list[str]], Sequence[bytes]], limit: int = 120_000, special: str | None = None) -> None:
         self.encode_many, self.special = encode_many, special
         self.any = _Memory(self._encode_some, limit)
         self.after_space = _Memory(lambda words: encode_many([" " + w for w in words]), limit)

@@ -83,6 +83,17 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def give_back() -> None:
+    """Let the system have what this worker has freed: workers live on between tasks and stages."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        trim(0)
+
+
 def text_columns(batch, at: int, most_bytes: int = 4 << 20):
     """(start, part) of a record batch's string column, a few MB at a time."""
     import numpy as np
@@ -96,6 +107,7 @@ def text_columns(batch, at: int, most_bytes: int = 4 << 20):
         stop = max(start + 1, int(np.searchsorted(sizes, base + most_bytes, "right")))
         yield start, column.slice(start, stop - start)
         start = stop
+    give_back()
 
 
 def text_slices(batch, at: int, most_bytes: int = 4 << 20):
