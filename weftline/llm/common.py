@@ -25,8 +25,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Rows go to Python in batches of so many bytes; Spark's own limit is four times that, in both processes and for each task.
+_BATCH = 16 << 20
+
+
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package when the driver found it by ``sys.path`` alone."""
+    """Let Python workers import this package when the driver found it by ``sys.path`` alone; keep Arrow batches small."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(_BATCH))
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
