@@ -63,8 +63,8 @@ QUERY_EVERY = 50
 LEAST_BLOCK, MOST_BLOCK = 2048, 16_384
 PROJECTIONS = 128
 COLLISIONS = 0.57
-VERIFIED = 0.1
-REACH = 0.5
+VERIFIED = 0.15
+REACH = 1.5
 #: Cuts of a sorted array, the first half width of a window in them, and by how many it grows.
 GROUPS, START, STEP = 64, 12, 2
 QUERIES_AT_ONCE = 256
