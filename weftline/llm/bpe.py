@@ -133,7 +133,7 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path or vocabulary_path())
         for b in batches:
-            for start, texts in text_columns(b, 1, 8 << 20):
+            for start, texts in text_columns(b, 1):
                 ids = [x.astype(np.int32) for x in bpe.encode_column(texts)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(start, len(texts)), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
@@ -160,7 +160,7 @@ def _digest(path: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path or vocabulary_path())
         for b in batches:
-            for start, texts in text_columns(b, 1, 8 << 20):
+            for start, texts in text_columns(b, 1):
                 n, of_ids, of_bytes = [], [], []
                 for ids in bpe.encode_column(texts):
                     written, decoded = hashlib.sha256(), hashlib.sha256()

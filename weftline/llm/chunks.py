@@ -146,6 +146,7 @@ class ChunkMemo:
         start = np.cumsum(size) - size
         each = size[code]
         stop = np.cumsum(each)
-        at = np.repeat(start[code] - (stop - each), each)
-        at += np.arange(len(at))
+        kind = np.int32 if len(stop) and max(int(stop[-1]), len(table)) < 1 << 31 else np.int64
+        at = np.repeat((start[code] - (stop - each)).astype(kind), each)
+        at += np.arange(len(at), dtype=kind)
         return table[at], stop[ends - 1]

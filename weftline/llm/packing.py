@@ -144,7 +144,7 @@ def _pieces(path: str | None, capacity: int, separator: int):
         crc = zlib.crc32
         for b in batches:
             names = b.column(0)
-            for at, texts in text_columns(b, 1, 8 << 20):
+            for at, texts in text_columns(b, 1):
                 ids, ends = memo.ids(texts)
                 raw, begin = memoryview(ids.tobytes()), 0
                 for doc, stop in zip(names.slice(at, len(texts)).to_pylist(), ends.tolist(), strict=True):
