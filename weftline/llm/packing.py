@@ -80,7 +80,7 @@ _AT_ONCE = 1000
 
 
 @lru_cache(maxsize=2)
-def _memo(path: str) -> ChunkMemo:
+def _memo(path: str, limit: int = 400_000) -> ChunkMemo:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
@@ -103,7 +103,7 @@ def _memo(path: str) -> ChunkMemo:
             out += [raw[4 * a : 4 * b] for a, b in zip([0, *(w + 1 for w in walls)], [*walls, len(ids)], strict=True)]
         return out
 
-    return ChunkMemo(encode_many, special=string)
+    return ChunkMemo(encode_many, limit, string)
 
 
 def _cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -115,7 +115,7 @@ def _cut(n: int, capacity: int) -> list[tuple[int, int]]:
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, place long, fill long"
 
 
-def _pieces(path: str | None, capacity: int, separator: int):
+def _pieces(path: str | None, capacity: int, separator: int, memory: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
@@ -123,9 +123,9 @@ def _pieces(path: str | None, capacity: int, separator: int):
         if path is None:
             import public_tokenizers
 
-            memo = _memo(public_tokenizers.path(TOKENIZER))
+            memo = _memo(public_tokenizers.path(TOKENIZER), memory)
         else:
-            memo = _memo(path)
+            memo = _memo(path, memory)
         end = np.asarray([separator], "<u4").tobytes()
         base = TaskContext.get().partitionId() << _PLACE
         docs: list[int | None] = []
@@ -184,12 +184,12 @@ def _merge(capacity: int, sealed_from: int, groups: int):
     return run
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, separator: int = SEPARATOR, tokenizer: str | None = None, slack: int = SLACK, fan_in: int = FAN_IN) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row per piece."""
+def pack(docs: DataFrame, capacity: int = CAPACITY, separator: int = SEPARATOR, tokenizer: str | None = None, slack: int = SLACK, fan_in: int = FAN_IN, memory: int = 400_000) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row per piece.  memory: words whose ids a worker remembers, twice."""
     if capacity < 1 or fan_in < 2:
         raise ValueError("capacity must be at least 1, fan_in at least 2")
     texts = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
-    pieces = materialise(texts.mapInArrow(_pieces(tokenizer, capacity, separator), _PIECES), "pack-pieces")
+    pieces = materialise(texts.mapInArrow(_pieces(tokenizer, capacity, separator, memory), _PIECES), "pack-pieces")
     sealed_from = capacity - slack
     open_bins = pieces.where((F.col("place") == 0) & (F.col("fill") < sealed_from)).select("bin", "fill", F.shiftright("bin", _PLACE).alias("part"))
     parts = (open_bins.agg(F.max("part")).first()[0] or 0) + 1
