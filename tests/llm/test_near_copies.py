@@ -67,3 +67,24 @@ def test_rows_are_nodes_by_id_and_text(spark):
     for parts in (1, 4):
         got = C.simhash(spark, spark.createDataFrame(rows, SCHEMA).repartition(parts), "").collect()
         assert sorted((str(r["doc_id"]), r["text"]) for r in got) == sorted([("7", one), ("7", two), ("None", three)])
+
+
+def test_long_texts_with_one_passage_are_no_candidates(spark, monkeypatch):
+    passage = text_of(31, 120, 200)
+    rows = [(i, f"{passage}\n{text_of(500 + i, 4000)}", "en", "s", 1, "c") for i in range(24)]
+    asked = []
+    decided = near_copies._decided
+    monkeypatch.setattr(near_copies, "_decided", lambda r, n, pairs, w: asked.append(pairs.count()) or decided(r, n, pairs, w))
+    got = C.simhash(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    assert len(got) == 24 and sum(asked) == 0
+
+
+def test_pairs_of_a_group_grow_with_its_members(spark, monkeypatch):
+    draw = random.Random(5)
+    base = text_of(41, 400)
+    asked = []
+    decided = near_copies._decided
+    monkeypatch.setattr(near_copies, "_decided", lambda r, n, pairs, w: asked.append(pairs.count()) or decided(r, n, pairs, w))
+    rows = [(i, edited(base, 3, draw), "en", "s", 1, "c") for i in range(120)]
+    got = C.simhash(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    assert [r["doc_id"] for r in got] == [0] and sum(asked) < 10 * 120
