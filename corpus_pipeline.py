@@ -11,7 +11,8 @@ the columns of ``docs``; ``n_chars`` follows the text.
    documents that such lines make up by half or more (groups of copies), the
    first holder of each line keeps it.
 3. ``simhash``: of documents linked by likeness (Jaccard 0.8 or more of their
-   sets of five-word shingles) the one with the smallest doc_id stays.
+   sets of five-word shingles) the one with the smallest doc_id stays.  SimHash
+   gives the links within three bits, a prefix filter those beyond; sets decide.
 4. ``suffix_dedup``: strings of 100 bytes that start earlier too go; a character
    goes whole or stays whole.
 5. ``packing``: what is left, in sequences of 2048 tokens.

@@ -69,6 +69,21 @@ def test_rows_are_nodes_by_id_and_text(spark):
         assert sorted((str(r["doc_id"]), r["text"]) for r in got) == sorted([("7", one), ("7", two), ("None", three)])
 
 
+def test_simhash_links_come_first(spark, monkeypatch):
+    from weftline.llm.simhash import fingerprint
+
+    base = text_of(21, 2000)
+    words = base.split(" ")
+    words[700] = "changed"
+    near, other = " ".join(words), text_of(22, 300)
+    assert 0 < (fingerprint(base, 5) ^ fingerprint(near, 5)).bit_count() <= 3
+    assert near_copies.print_of(near_copies.hashes(near, 5)) == fingerprint(near, 5) and near_copies.print_of(near_copies.hashes(" ", 5)) == fingerprint(" ", 5)
+    # Without the prefix filter's pairs, SimHash has found the near copy.
+    monkeypatch.setattr(near_copies, "_shared", lambda batches: (b.slice(0, 0) for b in batches))
+    rows = [(i, t, "en", "s", 1, "c") for i, t in enumerate([other, base, near])]
+    assert sorted(r["doc_id"] for r in C.simhash(spark, spark.createDataFrame(rows, SCHEMA), "").collect()) == [0, 1]
+
+
 def test_long_texts_with_one_passage_are_no_candidates(spark, monkeypatch):
     passage = text_of(31, 120, 200)
     rows = [(i, f"{passage}\n{text_of(500 + i, 4000)}", "en", "s", 1, "c") for i in range(24)]
