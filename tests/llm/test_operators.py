@@ -668,6 +668,12 @@ def test_shards_prune(spark):
     assert np.mean([r["hi"] - r["lo"] for r in got]) < 700 and np.mean([r["sources"] for r in got]) < 10
 
 
+def test_cuts_are_exact_over_all_rows(spark):
+    docs = spark.range(12_400).selectExpr("id doc_id", "concat('text ', id) text", "sha2(cast(id as string), 256) source")
+    cells = sharding.hilbert_shards(docs, shards=4, dimensions=("source",)).groupBy("curve").count().collect()
+    assert len(cells) == 31 and {r["count"] for r in cells} == {400}
+
+
 def test_shards_prune_on_strings_with_one_prefix(spark):
     docs = spark.range(2000).selectExpr("id doc_id", "'x' text", "concat('https://host/commoncrawl-', id % 16) source")
     got = sharding.hilbert_shards(docs, shards=16).join(docs, "doc_id").groupBy("shard").agg(F.countDistinct("source").alias("sources")).collect()

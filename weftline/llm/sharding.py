@@ -9,12 +9,12 @@ Steps, and what each costs at scale:
 
 1. one pass over the texts leaves a narrow table (id, size, CRC, text hash,
    dimensions) in the shared folder; the texts are never shuffled;
-2. quantile cut points (a fixed number per dimension) come from the narrow
-   table, those of strings from whole values of a fixed number of its rows;
+2. quantile cut points (a fixed number per dimension) are exact: distinct values
+   are counted over all rows and sorted by range;
 3. a group of equal texts takes the curve cell of its smallest doc_id: one
    aggregate of narrow rows, joined back by the text hash.  Large groups
    (100,000 at most) come back by broadcast and never meet in one task;
-4. one range exchange of narrow rows by (curve, text hash, id): a hot value of
+4. one range exchange of narrow rows by (curve, text hash, own cell, id): a hot value of
    any dimension, or a group of equal texts, spreads over as many partitions as
    its rows need because the id is part of the key;
 5. the row number in the sorted partition comes with the row
@@ -43,8 +43,6 @@ from .common import documents, left_join_spread, materialise, partitions
 
 BITS = 5
 SHARDS = 24
-#: Rows whose strings give the cut points.
-SAMPLE = 10_000
 
 
 def hilbert_index(cells: DataFrame, axes: Sequence[str], bits: int, out: str) -> DataFrame:
@@ -81,15 +79,25 @@ def hilbert_index(cells: DataFrame, axes: Sequence[str], bits: int, out: str) ->
     return df.withColumn(out, index).drop("_w_t", *x)
 
 
-def _string_cuts(rows: DataFrame, axes: Sequence[str], bits: int) -> dict[str, list[str]]:
-    """Cut points of whole strings, from the ``SAMPLE`` rows of smallest hash: a bound that does not grow with the rows."""
-    held = rows.select(F.xxhash64("doc_id", "_w_same").alias("_w_h"), *axes).orderBy("_w_h").limit(SAMPLE).collect()
-    cuts = {}
-    for a in axes:
-        values = sorted((r[a] for r in held if r[a] is not None), key=lambda v: v.encode())
-        n = (1 << bits) - 1
-        cuts[a] = sorted({values[k * len(values) // n] for k in range(1, n)}, key=lambda v: v.encode()) if values else []
-    return cuts
+def _cuts(rows: DataFrame, axes: dict[str, str], bits: int) -> dict[str, list]:
+    """Cut points of each axis (name -> type): the values at ranks ``k * count div (2**bits - 1)`` of all its rows.
+
+    Distinct values with their counts are sorted by range; only the cut points reach the driver.
+    """
+    n = (1 << bits) - 1
+    each = [F.struct(F.lit(i).alias("axis"), (F.col(a) if t == "string" else F.lit(None).cast("string")).alias("s"), (F.col(a) if t != "string" else F.lit(None).cast("double")).alias("d")) for i, (a, t) in enumerate(axes.items())]
+    counted = rows.select(F.inline(F.array(*each))).where("s is not null or d is not null").groupBy("axis", "s", "d").agg(F.count("*").alias("n"))
+    order = ["axis", "s", "d"]
+    values = counted.repartitionByRange(partitions(rows.sparkSession), *order).sortWithinPartitions(*order).withColumn("_w_part", F.spark_partition_id())
+    values = materialise(values, "shard-values")
+    parts = values.groupBy("axis", "_w_part").agg(F.sum("n").alias("_w_n"))  # a row for each partition and axis
+    every = Window.partitionBy("axis").orderBy("_w_part")
+    parts = parts.select("axis", "_w_part", (F.sum("_w_n").over(every) - F.col("_w_n")).alias("_w_start"), F.sum("_w_n").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_w_all"))
+    within = F.sum("n").over(Window.partitionBy("axis", "_w_part").orderBy("s", "d"))
+    ranked = values.withColumn("_w_to", within).join(F.broadcast(parts), ["axis", "_w_part"]).withColumn("_w_to", F.col("_w_to") + F.col("_w_start"))
+    k = f"greatest(1, ((_w_to - n) * {n} + _w_all - 1) div _w_all)"
+    found = ranked.where(f"{k} < {n} and ({k} * _w_all) div {n} < _w_to").select(*order).orderBy(*order).collect()
+    return {a: [r["s"] if t == "string" else r["d"] for r in found if r["axis"] == i] for i, (a, t) in enumerate(axes.items())}
 
 
 def _cell(column: Column, cuts: Sequence[float | str]) -> Column:
@@ -109,7 +117,7 @@ def _with_groups_cell(placed: DataFrame, n: int) -> DataFrame:
     first = F.min(F.struct("doc_id", "curve")).alias("_w_first")
     groups = placed.groupBy(F.col("_w_same").alias("_w_k0")).agg(F.count("*").alias("_w_n"), first).where("_w_n > 1").select("_w_k0", "_w_n", F.col("_w_first.curve").alias("_w_to"))
     found = left_join_spread(placed, materialise(groups, "shard-groups"), [F.col("_w_same")], n, ["_w_to"])
-    return found.withColumn("curve", F.coalesce("_w_to", "curve")).drop("_w_to")
+    return found.withColumn("_w_own", F.col("curve")).withColumn("curve", F.coalesce("_w_to", "curve")).drop("_w_to")
 
 
 def hilbert_shards(docs: DataFrame, shards: int = SHARDS, bits: int = BITS, dimensions: Sequence[str] = ("lang", "source", "n_chars")) -> DataFrame:
@@ -132,16 +140,12 @@ def hilbert_shards(docs: DataFrame, shards: int = SHARDS, bits: int = BITS, dime
         "shard-narrow",
     )
     axes = [f"_w_d{i}" for i in range(len(dims))]
-    share = [k / ((1 << bits) - 1) for k in range(1, (1 << bits) - 1)]
-    strings = [a for a, d in zip(axes, dims, strict=True) if kinds[d] == "string"]
-    numbers = [a for a in axes if a not in strings]
-    cuts = narrow.agg(*[F.percentile_approx(a, share, 10_000).alias(a) for a in numbers]).first().asDict() if numbers else {}
-    cuts = {a: sorted(set(c)) for a, c in cuts.items() if c} | (_string_cuts(narrow, strings, bits) if strings else {})
+    cuts = _cuts(narrow, {a: "string" if kinds[d] == "string" else "double" for a, d in zip(axes, dims, strict=True)}, bits) if axes else {}
     # A dimension without any value orders nothing (and would be a constant in all the steps of the curve).
     used = [a for a in axes if cuts.get(a)]
     cells = narrow.withColumns({a: _cell(F.col(a), cuts[a]) for a in used}) if used else narrow
     placed = hilbert_index(cells, used, bits, "curve") if used else cells.withColumn("curve", F.lit(0).cast("long"))
-    order = ["curve", "_w_same", "doc_id", "size"]
+    order = ["curve", "_w_same", "_w_own", "doc_id", "size"]
     ordered = _with_groups_cell(placed.drop(*axes), narrow.count()).repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
     ordered = materialise(ordered.withColumn("_w_place", F.monotonically_increasing_id()), "shard-order")
     ordered = ordered.withColumns({"_w_part": F.shiftright("_w_place", 33), "_w_row": F.col("_w_place").bitwiseAND(F.lit((1 << 33) - 1))})
